@@ -4,12 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .classlm import class_lm_scores
+from .langid import identify
 from .simhash import simhash_components
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash_components(spark, _table(spark, sf_dir, "documents"))
+
+
+def op2_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm_scores(spark, _table(spark, sf_dir, "documents"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_classlm": op2_classlm,
+    "op4_langid": op4_langid,
+}
 ORACLE_SQL: dict[str, str] = {}
