@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .classlm import class_lm_scores
 from .langid import identify
 from .simhash import simhash_components
+from .warc import roundtrip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,29 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, _table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(spark, _table(spark, sf_dir, "pages"))
+
+
+# DuckDB gives SHA-1 in hexadecimal; every five digits are four of base 32.
+_BASE32 = """list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '')"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT h, max(page_id) AS top FROM d GROUP BY h)
+SELECT d.page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32.replace("(h,", "(d.h,")} AS payload_digest,
+       CASE WHEN d.page_id = w.top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id = w.top THEN NULL ELSE w.top END AS refers_to
+FROM d JOIN w ON d.h = w.h
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_classlm": op2_classlm,
     "op4_langid": op4_langid,
+    "op5_warc": op5_warc,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
