@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitsliced import top_k
 from .classlm import class_lm_scores
 from .langid import identify
 from .simhash import simhash_components
@@ -45,10 +46,27 @@ FROM d JOIN w ON d.h = w.h
 """
 
 
+def op6_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, _table(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_classlm": op2_classlm,
     "op4_langid": op4_langid,
     "op5_warc": op5_warc,
+    "op6_bitsliced": op6_bitsliced,
 }
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_bitsliced": OP6_SQL}
