@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bitsliced import top_k
+from .bpe import encode_digests
 from .classlm import class_lm_scores
+from .gif import store_texts
 from .langid import identify
+from .mixing import mix
+from .pii import report
 from .simhash import simhash_components
 from .warc import roundtrip
 
@@ -62,11 +67,35 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_texts(spark, _table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, _table(spark, sf_dir, "documents"))
+
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    return encode_digests(spark, _table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, _table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_classlm": op2_classlm,
     "op4_langid": op4_langid,
     "op5_warc": op5_warc,
     "op6_bitsliced": op6_bitsliced,
+    "op7_gif": op7_gif,
+    "op8_pii": op8_pii,
+    "op9_bpe": op9_bpe,
+    "op10_mix": op10_mix,
 }
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_bitsliced": OP6_SQL}
