@@ -13,6 +13,7 @@ from .langid import identify
 from .mixing import mix
 from .pii import report
 from .simhash import simhash_components
+from .substring import remove_repeats
 from .warc import roundtrip
 
 
@@ -28,6 +29,10 @@ def op2_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm_scores(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, _table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_classlm": op2_classlm,
+    "op3_substring": op3_substring,
     "op4_langid": op4_langid,
     "op5_warc": op5_warc,
     "op6_bitsliced": op6_bitsliced,
