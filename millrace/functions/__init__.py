@@ -1 +1 @@
-
+"""Typed scalar expressions and their Spark columns."""

@@ -1 +1 @@
-
+"""Operators beside the query language: statistics and checksums."""

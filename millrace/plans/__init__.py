@@ -1 +1 @@
-
+"""Requests, their validation, and the DataFrames they become."""

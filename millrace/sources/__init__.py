@@ -1 +1 @@
-
+"""Catalog, bulk loading, the columnar file format, and generated data."""
