@@ -135,13 +135,29 @@ def block_order(size: int, block: int = BLOCK, alternating: bool = False, clamp:
     return out
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+
+
+def _listed(path: str) -> list[tuple[str, int]]:
+    """(path, length) of a file, or of a folder's files. Spark's own listing leaves empty files out."""
+    fs, root = _store(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    if info.type == pafs.FileType.File:
+        return [(path, info.size)]
+    found = fs.get_file_info(pafs.FileSelector(root))
+    return [(f"{path.rstrip('/')}/{f.base_name}", f.size) for f in found if f.type == pafs.FileType.File]
+
+
 _SUMS = pa.schema([("path", pa.string()), ("i", pa.int32()), ("n", pa.int64()), ("crc", pa.binary())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            fs, root = pafs.FileSystem.from_uri(r["path"].replace("file:/", "file:///", 1) if "://" not in r["path"] else r["path"])
+            fs, root = _store(r["path"])
             with fs.open_input_file(root) as f:
                 data = f.read_at(r["n"], r["place"])
             row = {"path": r["path"], "i": r["i"], "n": len(data), "crc": crc64(data).to_bytes(8, "big")}
@@ -161,7 +177,7 @@ def file_checksums(spark: SparkSession, path: str, block: int = BLOCK, alternati
     Blocks are read and summed apart; of a file only a row for each block meets.
     An empty file has sum 0.
     """
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")  # doesn't read the files
+    listed = spark.createDataFrame(_listed(path), "path string, length bigint")
     n = F.greatest(F.ceil(F.col("length") / block), F.lit(1)).cast("int")
     each = listed.select("path", "length", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     from_start = F.col("i").cast("bigint") * block
