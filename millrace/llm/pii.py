@@ -5,7 +5,7 @@ a chain of transducers rewrites the text: look-alike characters become ASCII,
 spelled digits become digits, and dressed-up "at" and "dot" become their signs.
 Every transducer keeps for each character it writes the span it was read from,
 so finds in the rewritten text are mapped back to spans of the source. They are
-added only where something was rewritten and no plain find of the kind overlaps.
+added only where something was rewritten and no plain find of the kind covers them.
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     for kind, a, b in plain(t.text):
         if t.new[a:b].any():
             start, end = t.source(a, b)
-            if not any(k == kind and start < e and s < end for k, s, e in known):
+            if not any(k == kind and s <= start and end <= e for k, s, e in known):
                 out.append((kind, start, end))
     return out
 
