@@ -54,7 +54,7 @@ def test_disguises_are_mapped_back(text, kind, part):
     base, every = pii.find(text)
     assert (kind, text.index(part), text.index(part) + len(part)) in every
     assert set(base) <= set(every) and len(every) > len(base)
-    assert pii.mask(text, every).count("<") == len(every)
+    assert pii.mask(text, every).count("<") == 1
 
 
 @pytest.mark.parametrize(
