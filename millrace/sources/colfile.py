@@ -27,8 +27,8 @@ MAGIC, END_MAGIC = b"Tomy", b"EndT"
 INT64_TAG, VARCHAR_TAG = 1, 2
 
 STARTS, ENDS, LENGTHS = "starts", "ends", "lengths"
-SUFFIX = ".tomy"
-FORMAT = "tomy"
+SUFFIX = ".column"
+FORMAT = "columnfile"
 
 
 class BadFile(ValueError):
@@ -200,14 +200,14 @@ def open_file(path: str) -> ColumnFile:
 
 
 def files(path: str) -> list[str]:
-    """The files of a path, itself or those of the format in the folder, by name."""
+    """The files of a path: itself, or those in the folder whose names don't start with a dot or underscore, by name."""
     scheme = path.partition("://")[0] + "://" if "://" in path else ""
     fs, root = pafs.FileSystem.from_uri(path) if scheme else (pafs.LocalFileSystem(), path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
         return [path]
-    found = fs.get_file_info(pafs.FileSelector(root))
-    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.path) if f.base_name.endswith(SUFFIX)]
+    found = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File and f.base_name[0] not in "._"]
+    return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.path)]
 
 
 class _Part(InputPartition):
@@ -293,7 +293,7 @@ class _Writer(DataSourceWriter):
 
 
 class ColumnFileSource(DataSource):
-    """format("tomy"); options: path, offsets (starts, ends, lengths), columns (names by comma)."""
+    """format("columnfile"); options: path, offsets (starts, ends, lengths), columns (names by comma)."""
 
     @classmethod
     def name(cls) -> str:

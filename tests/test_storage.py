@@ -67,7 +67,7 @@ def test_file_roundtrip_and_pruning():
 @pytest.mark.parametrize(
     "spoil",
     [
-        lambda d: b"", lambda d: b"Bomy" + d[4:], lambda d: d[:-1] + b"x", lambda d: d[:40],
+        lambda d: b"", lambda d: b"Xxxx" + d[4:], lambda d: d[:-1] + b"x", lambda d: d[:40],
         lambda d: d[:-12] + (2**40).to_bytes(8, "little") + d[-4:], lambda d: d[:-12] + (3).to_bytes(8, "little") + d[-4:],
     ],
 )
@@ -80,13 +80,13 @@ def test_data_source(spark, tmp_path):
     colfile.register(spark)
     df = spark.createDataFrame([(i, f"row{i} é") for i in range(50)], "id long, name string")
     target = str(tmp_path / "t")
-    df.repartition(3).write.format("tomy").option("path", target).option("offsets", "ends").mode("append").save()
-    back = spark.read.format("tomy").option("offsets", "ends").load(target)
+    df.repartition(3).write.format("columnfile").option("path", target).option("offsets", "ends").mode("append").save()
+    back = spark.read.format("columnfile").option("offsets", "ends").load(target)
     assert sorted(map(tuple, back.collect())) == [(i, f"row{i} é") for i in range(50)]
-    some = spark.read.format("tomy").option("offsets", "ends").option("columns", "id").load(target)
+    some = spark.read.format("columnfile").option("offsets", "ends").option("columns", "id").load(target)
     assert some.columns == ["id"] and some.count() == 50
-    df.limit(2).write.format("tomy").option("path", target).mode("overwrite").save()
-    assert spark.read.format("tomy").load(target).count() == 2
+    df.limit(2).write.format("columnfile").option("path", target).mode("overwrite").save()
+    assert spark.read.format("columnfile").load(target).count() == 2
 
 
 def slow_crc(data):
