@@ -15,8 +15,8 @@ from millrace.llm import bpe, langid, mixing, pii, simhash
 from millrace.llm.runtime import Scratch
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Words of a shingle; fingerprints of shingles of five words that are this near are of texts of similarity 0.8 and more.
-SHINGLE, BITS = 5, 4
+#: Near copies: words of a shingle, differing bits that make a candidate, and the least similarity of the shingle sets.
+SHINGLE, BITS, SIMILARITY = 5, 8, 0.8
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least doc_id of each near-duplicate group."""
-    return simhash.keep_first(spark, docs, SHINGLE, BITS)
+    return simhash.keep_first(spark, docs, SHINGLE, BITS, SIMILARITY)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ That costs a fixed number of rows for each of them, whatever the group's size.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ def _variants(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]]) -
 
 
 def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links of each bucket: for small ones all of them, for others a spanning forest."""
+    """Links of each bucket: all of them where they are few, else a spanning forest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     low_of = np.array([low for low, n in parts for _ in range(n)], np.uint64)
     mask_of = np.array([(1 << n) - 1 for _, n in parts for _ in range(n)], np.uint64)
@@ -115,6 +116,13 @@ def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bit
             out_b.append(signed[hit + step])
         for s, n in zip(starts[sizes > 8], sizes[sizes > 8]):
             own, at = fp[s : s + n], place[s : s + 1]
+            if n <= 1024:
+                meets = near(own[:, None], own[None, :], at)
+                x, y = np.nonzero(np.triu(meets, 1))
+                if len(x) <= 4 * n:
+                    out_a.append(signed[s + x])
+                    out_b.append(signed[s + y])
+                    continue
             free = np.ones(n, bool)
             while free.any():
                 stack = [int(np.argmax(free))]
@@ -155,11 +163,18 @@ def _stars(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
         yield batch(schema, np.minimum(hub, fp)[rest], np.maximum(hub, fp)[rest])
 
 
-def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+def hot_size(bits: int) -> int:
+    """From which size on a segment value's fingerprints are linked through midpoints:
+    where that is no more rows than comparisons."""
+    return max(HOT, sum(comb(64, n) for n in range(bits // 2 + 1)) // 16)
+
+
+def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None) -> DataFrame:
     """Links (a, b) that connect all of the distinct fingerprints ``prints.fp``
     which are ``bits`` (even) or fewer apart; links implied by others may be left out."""
     if bits % 2:
         raise ValueError("bits must be even")
+    hot = hot_size(bits) if hot is None else hot
     parts = segments(bits)
     value = [
         F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << n) - 1).cast("long")) * 64 + i
@@ -200,11 +215,16 @@ def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int = HOT) -> Dat
     return found
 
 
-def classes(scratch: Scratch, prints: DataFrame, bits: int, hot: int = HOT) -> DataFrame:
+Check = Callable[[DataFrame], DataFrame]
+
+
+def classes(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None, check: Check | None = None) -> DataFrame:
     """(fp, component_id) for each distinct fp of ``prints`` (fp, doc_id); component_id
-    is the least doc_id of all fingerprints that links lead to, null if all are null."""
+    is the least doc_id of all fingerprints that links lead to, null if all are null.
+    ``check`` may drop links (a, b)."""
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    labels = components(scratch, links(scratch, nodes, bits, hot))
+    found = links(scratch, nodes, bits, hot)
+    labels = components(scratch, check(found) if check else found)
     named = nodes.join(labels, nodes.fp == labels.node, "left")
     named = scratch.save(named.select("fp", "least", F.coalesce("label", "fp").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -213,7 +233,7 @@ def classes(scratch: Scratch, prints: DataFrame, bits: int, hot: int = HOT) -> D
 
 
 def simhash_components(
-    spark: SparkSession, docs: DataFrame, width: int = 4, bits: int = 4, hot: int = HOT
+    spark: SparkSession, docs: DataFrame, width: int = 4, bits: int = 4, hot: int | None = None
 ) -> DataFrame:
     """Fingerprints and near-duplicate groups of documents (doc_id, text).
 
@@ -233,11 +253,52 @@ def simhash_components(
     return scratch.finish(out)
 
 
-def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, bits: int = 4) -> DataFrame:
+def similarity(x: bytes, y: bytes, width: int) -> float:
+    """Jaccard similarity of the sets of word shingles; texts of fewer words are one shingle, blank ones none."""
+
+    def shingles(text: bytes) -> set[bytes]:
+        words = text.lower().split()
+        return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+    a, b = shingles(x), shingles(y)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _similar(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for t in batches:
+        texts = zip(as_bytes(t.column("x")), as_bytes(t.column("y")))
+        keep = np.array([similarity(x, y, width) >= least for x, y in texts], bool)
+        if keep.any():
+            yield batch(schema, t.column("a").to_numpy()[keep], t.column("b").to_numpy()[keep])
+
+
+def similar_links(scratch: Scratch, rows: DataFrame, text: str, found: DataFrame, width: int, least: float) -> DataFrame:
+    """The links whose texts are as similar as ``least``; a fingerprint's first row has its text.
+
+    Only texts that have a link are moved. All tables that meet are written
+    ones, so that the rows of a text with many links can be split among tasks.
+    """
+    found = scratch.save(found.distinct(), "found")
+    ends = found.select(F.explode(F.array("a", "b")).alias("e")).distinct()
+    first = rows.groupBy("fp").agg(F.min("row").alias("r")).join(ends, F.col("fp") == F.col("e"), "left_semi").select("r")
+    texts = rows.select("row", "fp", text).join(scratch.save(first, "ends"), F.col("row") == F.col("r"), "left_semi")
+    texts = scratch.save(texts.select("fp", F.col(text).alias("text")), "linked")
+    x, y = (texts.select(F.col("fp").alias(f"fp_{n}"), F.col("text").alias(n)) for n in "xy")
+    pairs = found.join(x, found.a == F.col("fp_x")).join(y, found.b == F.col("fp_y")).select("a", "b", "x", "y")
+    return pairs.mapInArrow(lambda t: _similar(t, width, least), "a long, b long")
+
+
+def keep_first(
+    spark: SparkSession, docs: DataFrame, width: int = 5, bits: int = 8, least: float = 0.8
+) -> DataFrame:
     """Keeps one row of each near-duplicate group: that of the least doc_id.
 
-    All columns of ``docs`` are returned as they are. Of repeated doc_ids in a
-    group one row stays; a null doc_id stays only if its group has no other.
+    Documents are linked whose fingerprints are ``bits`` or fewer apart and whose
+    sets of word shingles have a similarity of ``least`` or more. All columns of
+    ``docs`` are returned as they are. Of repeated doc_ids in a group one row
+    stays; a null doc_id stays only if its group has no other. Null, empty and
+    blank texts are alike.
     """
     scratch = Scratch(spark, "keep")
     names = docs.columns
@@ -246,7 +307,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, bits: int =
     rows = with_fingerprint(inner, text, width).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "rows")
     thin = rows.select(F.col(key).alias("doc_id"), "fp", "row")
-    group = classes(scratch, thin, bits)
+    classes(scratch, thin, bits, check=lambda found: similar_links(scratch, rows, text, found, width, least))
     # One row for each group: a group's component_id may be shared by others if ids repeat.
     named = scratch.spark.read.parquet(f"{scratch.path}/named").select("fp", "label")
     first = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
