@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, langid, mixing, pii, simhash
-from millrace.llm.runtime import Scratch
+from millrace.llm.runtime import Scratch, scratches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Near copies: words of a shingle, differing bits that make a candidate, and the least similarity of the shingle sets.
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch, before = Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratches():
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if before:
             scratch.drop(before)
         before = name

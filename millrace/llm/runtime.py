@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratches() -> Iterator[None]:
+    """Removes at the end what operators leave in the block. Some return a
+    DataFrame that still reads their tables; whoever has written it elsewhere
+    doesn't need these any more."""
+    made: list[Scratch] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for s in made:
+            s.drop()
+
+
 class Scratch:
     """A folder of tables under the shared folder, for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        made = _MADE.get()
+        if made is not None:
+            made.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df as Parquet and returns the written table, which has no lineage."""
