@@ -234,6 +234,27 @@ _add(
 )
 
 
+def full_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.attach("supplier", f"{sf_dir}/supplier.parquet")
+    return engine.scan("supplier")
+
+
+_add("full_scan", full_scan, "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
+
+
+def full_scan_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(spark)
+    engine.attach("supplier", f"{sf_dir}/supplier.parquet")
+    return engine.scan("supplier", 7)
+
+
+_add(
+    "full_scan_limit", full_scan_limit,
+    "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier LIMIT 7",
+)
+
+
 def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-1 to AGG-4 over the integer and string columns of a table."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
@@ -325,6 +346,17 @@ def crc64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("crc64_text", crc64_text)
 
 
+def crc64_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file's checksum in order and with alternating blocks."""
+    path = f"{sf_dir}/customer.parquet"
+    plain = checksum.file_checksums(spark, path, 4096).withColumn("blocks", F.lit("in order"))
+    other = checksum.file_checksums(spark, path, 4096, alternating=True).withColumn("blocks", F.lit("alternating"))
+    return plain.unionByName(other).select("blocks", "crc64")
+
+
+_add("crc64_file", crc64_file)
+
+
 def zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The integer codec's mapping as a column expression; the last two bits of each code and the way back."""
     df = own_session(spark).read.parquet(f"{sf_dir}/orders.parquet")

@@ -97,6 +97,12 @@ class Engine:
             if plan.snapshot:
                 self.catalog.release(plan.snapshot)
 
+    def scan(self, name: str, limit: int = 0) -> DataFrame:
+        """All columns of a table under their names; the first ``limit`` rows if it is positive."""
+        with self.catalog.snapshot(name) as held:
+            columns = tuple(request.ColumnRef(c, name) for c in held.columns)
+            return self.select(request.Select(columns, limit=limit if limit > 0 else None)).toDF(*held.columns)
+
     def copy(self, query: request.Copy) -> int:
         if not self.folder:
             raise csv_copy.CopyFailed("the engine has no folder for tables")

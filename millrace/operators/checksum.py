@@ -171,11 +171,11 @@ def _fold(t: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([{"path": t.column("path")[0].as_py(), "crc64": f"{crc:016x}"}])
 
 
-def file_checksums(spark: SparkSession, path: str, block: int = BLOCK, alternating: bool = False) -> DataFrame:
+def file_checksums(spark: SparkSession, path: str, block: int = BLOCK, alternating: bool = False, clamp: bool = True) -> DataFrame:
     """(path, crc64) of each file of a path, in 16 hexadecimal digits.
 
     Blocks are read and summed apart; of a file only a row for each block meets.
-    An empty file has sum 0.
+    An empty file has sum 0. ``alternating`` and ``clamp`` are those of block_order.
     """
     listed = spark.createDataFrame(_listed(path), "path string, length bigint")
     n = F.greatest(F.ceil(F.col("length") / block), F.lit(1)).cast("int")
@@ -183,8 +183,10 @@ def file_checksums(spark: SparkSession, path: str, block: int = BLOCK, alternati
     from_start = F.col("i").cast("bigint") * block
     place = from_start
     if alternating:
-        odd = F.greatest(F.col("length") - (F.col("i").cast("bigint") + 1) * block, F.lit(0).cast("bigint"))
-        place = F.when(F.col("i") % 2 == 1, odd).otherwise(from_start)
-    each = each.select("path", "i", place.alias("place"), F.least(F.lit(block).cast("bigint"), F.col("length") - place).alias("n"))
+        place = F.when(F.col("i") % 2 == 1, F.col("length") - (F.col("i").cast("bigint") + 1) * block).otherwise(from_start)
+        if clamp:
+            place = F.greatest(place, F.lit(0).cast("bigint"))
+    size = F.when(place < 0, 0).otherwise(F.least(F.lit(block).cast("bigint"), F.col("length") - place))
+    each = each.select("path", "i", F.greatest(place, F.lit(0).cast("bigint")).alias("place"), size.alias("n"))
     sums = each.repartition(F.xxhash64("path", "i")).mapInArrow(_read, "path string, i int, n bigint, crc binary")
     return sums.groupBy("path").applyInArrow(_fold, "path string, crc64 string")

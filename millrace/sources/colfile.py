@@ -210,6 +210,15 @@ def files(path: str) -> list[str]:
     return [f"{path.rstrip('/')}/{f.base_name}" for f in sorted(found, key=lambda f: f.path)]
 
 
+def read_batches(paths: list[str], size: int, names: list[str] | None = None, offsets: str = STARTS) -> Iterator[dict[str, object]]:
+    """Batches of ``size`` rows at most, through the files in the order given; none spans two files."""
+    for path in paths:
+        file = open_file(path)
+        found = file.read(names, offsets)
+        for lo in range(0, file.rows, size):
+            yield {name: values[lo : lo + size] for name, values in found.items()}
+
+
 class _Part(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)

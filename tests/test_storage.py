@@ -64,6 +64,19 @@ def test_file_roundtrip_and_pruning():
     assert list(f.read(["description", "id"])) == ["id", "description"]
 
 
+def test_batches_do_not_span_files(tmp_path):
+    paths = []
+    for part in (range(15), range(15, 20)):
+        paths.append(str(tmp_path / f"{part[0]}"))
+        (tmp_path / f"{part[0]}").write_bytes(colfile.dump([("id", 1, list(part)), ("name", 2, [b"row%d" % i for i in part])]))
+    for size, sizes in ((4, [4, 4, 4, 3, 4, 1]), (10, [10, 5, 5]), (100, [15, 5])):
+        found = list(colfile.read_batches(paths, size))
+        assert [len(b["id"]) for b in found] == sizes
+        assert [v for b in found for v in b["id"].tolist()] == list(range(20))
+        assert [v for b in found for v in b["name"]] == [b"row%d" % i for i in range(20)]
+    assert [list(b) for b in colfile.read_batches(paths, 10, ["id"])] == [["id"]] * 3
+
+
 @pytest.mark.parametrize(
     "spoil",
     [
@@ -119,14 +132,14 @@ def test_block_orders():
     assert checksum.block_order(0) == []
 
 
-@pytest.mark.parametrize("alternating", [False, True])
-def test_file_checksums(spark, tmp_path, alternating):
+@pytest.mark.parametrize(("alternating", "clamp"), [(False, True), (True, True), (True, False)])
+def test_file_checksums(spark, tmp_path, alternating, clamp):
     rng = np.random.default_rng(3)
     files = {f"f{n}": rng.bytes(n) for n in (0, 1, 100, 1000, 2345)}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
-    got = {r.path.rpartition("/")[2]: r.crc64 for r in checksum.file_checksums(spark, str(tmp_path), 100, alternating).collect()}
-    order = {k: b"".join(v[a : a + n] for a, n in checksum.block_order(len(v), 100, alternating)) for k, v in files.items()}
+    got = {r.path.rpartition("/")[2]: r.crc64 for r in checksum.file_checksums(spark, str(tmp_path), 100, alternating, clamp).collect()}
+    order = {k: b"".join(v[a : a + n] for a, n in checksum.block_order(len(v), 100, alternating, clamp)) for k, v in files.items()}
     assert got == {k: f"{slow_crc(v):016x}" for k, v in order.items()}
 
 
