@@ -66,20 +66,32 @@ def _upper_guard() -> tuple[str, str, str]:
 def _upper(c: Column) -> Column:
     # Most texts need no guard, and most others only that for one letter; a translation of all is slow.
     special, held, simple = _upper_guard()
-    rare = "".join(x for x in special if x != "ß")
+    rare = [x for x in special if x != "ß"]
     one = F.replace(F.upper(F.replace(c, F.lit("ß"), F.lit(held[0]))), F.lit(held[0]), F.lit("ß"))
     every = F.translate(F.upper(F.translate(c, special, held)), held, simple)
     return (
         F.when(F.octet_length(c) == F.char_length(c), F.upper(c))
-        .when(c.rlike(f"[{rare}]"), every)
+        .when(c.rlike(f"[{rare[0]}-{rare[-1]}]") & c.rlike(_ranges(rare)), every)
         .when(F.contains(c, F.lit("ß")), one)
         .otherwise(F.upper(c))
     )
 
 
+def _ranges(letters: list[str]) -> str:
+    """A character class of a few ranges that hold all of the letters, and perhaps some between them."""
+    parts = [[letters[0], letters[0]]]
+    for x in letters[1:]:
+        if ord(x) - ord(parts[-1][1]) <= 32:
+            parts[-1][1] = x
+        else:
+            parts.append([x, x])
+    return "[" + "".join(f"{a}-{b}" for a, b in parts) + "]"
+
+
 def _lower(c: Column) -> Column:
     # Simple mappings: a final sigma is no exception, and a dotted capital I loses its dot.
-    return F.lower(F.translate(c, "Σİ", "σi"))
+    guarded = F.replace(F.replace(c, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i"))
+    return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.lower(guarded))
 
 
 def _strlen(c: Column) -> Column:

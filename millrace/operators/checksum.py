@@ -8,7 +8,7 @@ are read in blocks by as many tasks as they have blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,7 +44,7 @@ def _times(a: int, b: int) -> int:
     return out
 
 
-@cache
+@lru_cache(65_536)
 def _power(n_bytes: int) -> int:
     """x to the 8 n-th power, reduced: multiplying by it moves a sum on by n bytes."""
     out, base = 1, 1 << 8
@@ -70,15 +70,37 @@ def _columns(rows: np.ndarray) -> np.ndarray:
     return crc
 
 
+@lru_cache(1024)
+def _movers(n_bytes: int) -> np.ndarray:
+    """For each byte of a sum, what it becomes when the sum is moved on by n bytes."""
+    out = np.zeros((8, 256), np.uint64)
+    image = _power(n_bytes)
+    for bit in range(64):
+        out[bit // 8, (np.arange(256) >> bit % 8) & 1 == 1] ^= np.uint64(image)
+        image = (image << 1) & _MASK ^ (POLYNOMIAL if image >> 63 else 0)
+    return out
+
+
+def _joined(crcs: np.ndarray, n_bytes: int) -> int:
+    """The sum of equally long pieces that follow each other, joined two by two."""
+    whole = 1 << (len(crcs) - 1).bit_length()
+    crcs = np.r_[np.zeros(whole - len(crcs), np.uint64), crcs]  # zeros in front change nothing
+    while len(crcs) > 1:
+        move, left = _movers(n_bytes), crcs[::2]
+        crcs = crcs[1::2].copy()
+        for k in range(8):
+            crcs ^= move[k][(left >> np.uint64(8 * k)) & np.uint64(255)]
+        n_bytes *= 2
+    return int(crcs[0])
+
+
 def crc64(data: bytes, crc: int = 0) -> int:
     """The sum of bytes that follow others whose sum is ``crc``."""
     raw = np.frombuffer(data, np.uint8)
     width = max(1, len(raw) // _LANES)
     whole = len(raw) // width * width if len(raw) >= 64 else 0
     if whole:
-        move = _power(width)
-        for c in _columns(raw[:whole].reshape(-1, width)).tolist():
-            crc = _times(crc, move) ^ c
+        crc = join(crc, _joined(_columns(raw[:whole].reshape(-1, width)), width), whole)
     table = _table()
     for byte in data[whole:]:
         crc = int(table[crc >> 56 ^ byte]) ^ (crc << 8) & _MASK
