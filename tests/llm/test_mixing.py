@@ -67,7 +67,7 @@ def test_better_documents_are_likelier(spark):
 
 
 def test_one_bin_holds_the_end(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BINS", 1)
+    monkeypatch.setattr(mixing, "BINS", 0.001)
     df = table(spark, {"a": 1, "b": 7, "c": 2}, 30)
     got = mixing.mix(spark, df).toPandas().merge(df.select("doc_id", "source").toPandas(), on="doc_id")
     sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
