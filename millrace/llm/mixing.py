@@ -164,6 +164,7 @@ def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = scratch.save(rows, "rows")
     thin = rows.select(F.col(source).alias("source"), "size", "quality", "tie", "row")
     copies = scratch.save(drawn(scratch, thin).where("copies > 0").select(F.col("row").alias("r"), "copies"), "copies")
-    out = rows.join(copies, F.col("row") == F.col("r"))
+    # Shuffled at every size: how much is taken grows with the documents, and isn't for broadcasting.
+    out = rows.join(copies.hint("merge"), F.col("row") == F.col("r"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -282,7 +282,9 @@ def similar_links(scratch: Scratch, rows: DataFrame, text: str, found: DataFrame
     found = scratch.save(found.distinct(), "found")
     ends = found.select(F.explode(F.array("a", "b")).alias("e")).distinct()
     first = rows.groupBy("fp").agg(F.min("row").alias("r")).join(ends, F.col("fp") == F.col("e"), "left_semi").select("r")
-    texts = rows.select("row", "fp", text).join(scratch.save(first, "ends"), F.col("row") == F.col("r"), "left_semi")
+    # Shuffled at every size: how much is kept grows with the documents, and isn't for broadcasting.
+    ends = scratch.save(first, "ends").hint("merge")
+    texts = rows.select("row", "fp", text).join(ends, F.col("row") == F.col("r"), "left_semi")
     texts = scratch.save(texts.select("fp", F.col(text).alias("text")), "linked")
     x, y = (texts.select(F.col("fp").alias(f"fp_{n}"), F.col("text").alias(n)) for n in "xy")
     pairs = found.join(x, found.a == F.col("fp_x")).join(y, found.b == F.col("fp_y")).select("a", "b", "x", "y")
@@ -313,5 +315,5 @@ def keep_first(
     first = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     first = first.join(named, "fp").groupBy("label").agg(F.min("first").alias("first"))
     kept = scratch.save(first.select(F.col("first.row").alias("kept")), "kept")
-    out = rows.join(kept, rows.row == kept.kept, "left_semi")
+    out = rows.join(kept.hint("merge"), F.col("row") == F.col("kept"), "left_semi")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
