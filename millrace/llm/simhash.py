@@ -203,7 +203,7 @@ def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None
         state = scratch.save(state, "state")
         cold, warm = state.select("fp", "cold"), state.where("warm > 0").select("fp")
     rows = cold.mapInArrow(lambda x: _variants(x, parts), "key long, fp long")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(
+    found = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
         lambda x: _linked(x, parts, bits), "a long, b long"
     )
     if warm is not None:
