@@ -26,6 +26,7 @@ SPLIT_BYTES = 8 << 20
 FILE_BYTES = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
+MOST_TASKS = 20_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _ID = "urn:millrace:page:"
 
@@ -238,7 +239,9 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         "path", "size", (F.col("i") * F.lit(split_bytes).cast("long")).alias("start"),
         F.least((F.col("i") + 1) * F.lit(split_bytes).cast("long"), "size").alias("end"),
     )
-    spread = ranges.repartition(F.xxhash64("path", "start"))
+    # A range is a few bytes in a shuffle but megabytes to read, so as many tasks as ranges are asked for.
+    total = archives.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    spread = ranges.repartition(int(min(total, MOST_TASKS)), "path", "start")
     return spread.mapInArrow(_read, "path string, offset long, fields map<string,string>, payload binary")
 
 
