@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def inner(self, name: str) -> Scratch:
+        """A folder in this one, which goes with it."""
+        out = copy(self)
+        out.path = f"{self.path}/{name}"
+        return out
+
     def drop(self, name: str = "") -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)

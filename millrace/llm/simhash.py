@@ -16,7 +16,8 @@ That costs a fixed number of rows for each of them, whatever the group's size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import combinations, repeat
+from functools import reduce
+from itertools import combinations, count, repeat
 from math import comb
 
 import numpy as np
@@ -69,10 +70,13 @@ def with_fingerprint(df: DataFrame, text: str, width: int, name: str = "fp") ->
     return df.mapInArrow(run, schema)
 
 
-def _variants(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """(key, fp) for each deleted bit of the segments that are not hot."""
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+def _variants(
+    batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], more: tuple[str, ...] = ()
+) -> Iterator[pa.RecordBatch]:
+    """(key, fp, more) for each deleted bit of the segments that are not hot."""
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "fp", *more)])
     for b in batches:
+        rest = [b.column(n).to_numpy() for n in more]
         signed = b.column("fp").to_numpy()
         cold = b.column("cold").to_numpy()
         fp = signed.view(np.uint64)
@@ -81,12 +85,14 @@ def _variants(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]]) -
             value = (fp[pick] >> np.uint64(low)) & np.uint64((1 << n) - 1)
             for bit in range(n):
                 key = (value & ~np.uint64(1 << bit)).view(np.int64) * 64 + (low + bit)
-                yield batch(schema, key, signed[pick])
+                yield batch(schema, key, signed[pick], *(r[pick] for r in rest))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bits: int) -> Iterator[pa.RecordBatch]:
-    """Links of each bucket: all of them where they are few, else a spanning forest."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+Near = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _segment_near(parts: list[tuple[int, int]], bits: int) -> Near:
+    """Whether two fingerprints of a place's bucket are near and meet there first."""
     low_of = np.array([low for low, n in parts for _ in range(n)], np.uint64)
     mask_of = np.array([(1 << n) - 1 for _, n in parts for _ in range(n)], np.uint64)
     first = np.zeros(64, bool)
@@ -98,6 +104,13 @@ def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bit
         differs = ((diff >> low_of[place]) & mask_of[place]) != 0
         return (np.bitwise_count(diff) <= bits) & (differs | first[place])
 
+    return near
+
+
+def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Links of each bucket: all of them where they are few, else a spanning forest."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    near = _segment_near(parts, bits)
     for piece in sorted_runs(batches, "key"):
         key, signed = piece["key"], piece["fp"]
         fp, place = signed.view(np.uint64), (key & 63).astype(np.int64)
@@ -140,16 +153,16 @@ def _linked(batches: Iterator[pa.RecordBatch], parts: list[tuple[int, int]], bit
             yield batch(schema, np.minimum(a, b), np.maximum(a, b))
 
 
-def _midpoints(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+def _midpoints(batches: Iterator[pa.RecordBatch], bits: int, more: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(n, pa.int64()) for n in ("key", "fp", *more)])
     half = (bits + 1) // 2
     flips = np.array([sum(1 << p for p in c) for n in range(half + 1) for c in combinations(range(64), n)], np.uint64)
     for b in batches:
-        signed = b.column("fp").to_numpy()
-        for i in range(0, len(signed), 64):
-            part = signed[i : i + 64]
-            key = (part.view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
-            yield batch(schema, key, np.repeat(part, len(flips)))
+        columns = [b.column(n).to_numpy() for n in ("fp", *more)]
+        for i in range(0, b.num_rows, 64):
+            part = [c[i : i + 64] for c in columns]
+            key = (part[0].view(np.uint64)[:, None] ^ flips).ravel().view(np.int64)
+            yield batch(schema, key, *(np.repeat(c, len(flips)) for c in part))
 
 
 def _stars(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -169,9 +182,9 @@ def hot_size(bits: int) -> int:
     return max(HOT, sum(comb(64, n) for n in range(bits // 2 + 1)) // 16)
 
 
-def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all of the distinct fingerprints ``prints.fp``
-    which are ``bits`` (even) or fewer apart; links implied by others may be left out."""
+def _states(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """(fp, cold) with the segments that are not hot as bits, and (fp) of those that go
+    through midpoints, None if none does; ``prints.fp`` are distinct."""
     if bits % 2:
         raise ValueError("bits must be even")
     hot = hot_size(bits) if hot is None else hot
@@ -202,6 +215,14 @@ def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None
         )
         state = scratch.save(state, "state")
         cold, warm = state.select("fp", "cold"), state.where("warm > 0").select("fp")
+    return cold, warm
+
+
+def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all of the distinct fingerprints ``prints.fp``
+    which are ``bits`` (even) or fewer apart; links implied by others may be left out."""
+    cold, warm = _states(scratch, prints, bits, hot)
+    parts = segments(bits)
     rows = cold.mapInArrow(lambda x: _variants(x, parts), "key long, fp long")
     found = rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
         lambda x: _linked(x, parts, bits), "a long, b long"
@@ -215,16 +236,12 @@ def links(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None
     return found
 
 
-Check = Callable[[DataFrame], DataFrame]
-
-
-def classes(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None, check: Check | None = None) -> DataFrame:
+def classes(scratch: Scratch, prints: DataFrame, bits: int, hot: int | None = None) -> DataFrame:
     """(fp, component_id) for each distinct fp of ``prints`` (fp, doc_id); component_id
-    is the least doc_id of all fingerprints that links lead to, null if all are null.
-    ``check`` may drop links (a, b)."""
+    is the least doc_id of all fingerprints that links lead to, null if all are null."""
     nodes = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = links(scratch, nodes, bits, hot)
-    labels = components(scratch, check(found) if check else found)
+    labels = components(scratch, found)
     named = nodes.join(labels, nodes.fp == labels.node, "left")
     named = scratch.save(named.select("fp", "least", F.coalesce("label", "fp").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -274,21 +291,167 @@ def _similar(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Ite
 
 
 def similar_links(scratch: Scratch, rows: DataFrame, text: str, found: DataFrame, width: int, least: float) -> DataFrame:
-    """The links whose texts are as similar as ``least``; a fingerprint's first row has its text.
+    """The links (a, b) of rows whose texts are as similar as ``least``.
 
     Only texts that have a link are moved. All tables that meet are written
     ones, so that the rows of a text with many links can be split among tasks.
     """
     found = scratch.save(found.distinct(), "found")
-    ends = found.select(F.explode(F.array("a", "b")).alias("e")).distinct()
-    first = rows.groupBy("fp").agg(F.min("row").alias("r")).join(ends, F.col("fp") == F.col("e"), "left_semi").select("r")
     # Shuffled at every size: how much is kept grows with the documents, and isn't for broadcasting.
-    ends = scratch.save(first, "ends").hint("merge")
-    texts = rows.select("row", "fp", text).join(ends, F.col("row") == F.col("r"), "left_semi")
-    texts = scratch.save(texts.select("fp", F.col(text).alias("text")), "linked")
-    x, y = (texts.select(F.col("fp").alias(f"fp_{n}"), F.col("text").alias(n)) for n in "xy")
-    pairs = found.join(x, found.a == F.col("fp_x")).join(y, found.b == F.col("fp_y")).select("a", "b", "x", "y")
-    return pairs.mapInArrow(lambda t: _similar(t, width, least), "a long, b long")
+    ends = scratch.save(found.select(F.explode(F.array("a", "b")).alias("e")).distinct(), "ends").hint("merge")
+    texts = rows.select("row", text).join(ends, F.col("row") == F.col("e"), "left_semi")
+    texts = scratch.save(texts.select("row", F.col(text).alias("text")), "linked")
+    x, y = (texts.select(F.col("row").alias(f"row_{n}"), F.col("text").alias(n)) for n in "xy")
+    pairs = found.join(x, found.a == F.col("row_x")).join(y, found.b == F.col("row_y")).select("a", "b", "x", "y")
+    return scratch.save(pairs.mapInArrow(lambda t: _similar(t, width, least), "a long, b long"), "similar")
+
+
+#: Links (a, b), and members (fp, a) of dense groups (key, root) not all of whose pairs were links yet.
+_LOOKED = pa.schema([("open", pa.bool_()), *((n, pa.int64()) for n in ("key", "root", "fp", "a", "b"))])
+_LOOKED_DDL = "open boolean, key long, root long, fp long, a long, b long"
+
+
+def _links_out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    zero = np.zeros(len(a), np.int64)
+    return batch(_LOOKED, np.zeros(len(a), bool), zero, zero, zero, np.minimum(a, b), np.maximum(a, b))
+
+
+def _members_out(key: np.ndarray, root: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    return batch(_LOOKED, np.ones(len(key), bool), key, root, fp, node, node)
+
+
+def _first_look(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.RecordBatch]:
+    """All links of each bucket (key, fp, node) where they are few, else a spanning forest
+    and, as links may fail their check, the members of its trees."""
+    for piece in sorted_runs(batches, "key"):
+        key, signed, node = piece["key"], piece["fp"], piece["node"]
+        fp = signed.view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        small = np.repeat(sizes <= 8, sizes)
+        out_a, out_b = [], []
+        for step in range(1, 8):
+            if len(key) <= step:
+                break
+            i = np.flatnonzero((key[step:] == key[:-step]) & small[:-step])
+            if not len(i):
+                break
+            hit = i[near(fp[i], fp[i + step], key[i])]
+            out_a.append(node[hit])
+            out_b.append(node[hit + step])
+        for s, n in zip(starts[sizes > 8].tolist(), sizes[sizes > 8].tolist()):
+            own, ids, at = fp[s : s + n], node[s : s + n], key[s : s + 1]
+            few_a, few_b, total = [], [], 0
+            rows = max(1, (1 << 20) // n)
+            for lo in range(0, n, rows):
+                x, y = np.nonzero(np.triu(near(own[lo : lo + rows, None], own[None, lo:], at), 1))
+                total += len(x)
+                if total > 4 * n:
+                    break
+                few_a.append(ids[lo + x])
+                few_b.append(ids[lo + y])
+            if total <= 4 * n:
+                out_a += few_a
+                out_b += few_b
+                continue
+            free = np.ones(n, bool)
+            while free.any():
+                stack = [int(np.argmax(free))]
+                free[stack[0]] = False
+                tree = [np.array(stack)]
+                while stack:
+                    x = stack.pop()
+                    rest = np.flatnonzero(free)
+                    new = rest[near(own[rest], own[x], at)] if len(rest) else rest
+                    free[new] = False
+                    stack += new.tolist()
+                    tree.append(new)
+                    out_a.append(np.repeat(ids[x], len(new)))
+                    out_b.append(ids[new])
+                members = np.sort(np.concatenate(tree))
+                if len(members) > 2:
+                    of = ids[members]
+                    yield _members_out(np.repeat(at, len(of)), np.repeat(of[:1], len(of)), signed[s + members], of)
+        if out_a:
+            yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
+
+
+def _next_look(batches: Iterator[pa.RecordBatch], near: Near, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Links of members that are ``low`` to ``high`` - 1 places apart in their group, seen as a
+    circle, and not yet known to be in one component; the members again where places are left."""
+    for piece in sorted_runs(batches, "key"):
+        key, root, signed, node, label = (piece[n] for n in ("key", "root", "fp", "a", "label"))
+        fp = signed.view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+            n, of = e - s, label[s:e]
+            if (of == of[0]).all():
+                continue
+            own, ids, at = fp[s:e], node[s:e], key[s : s + 1]
+            out_a, out_b, held = [], [], 0
+            for d in range(low, min(high, n // 2 + 1)):
+                hit = np.flatnonzero((of != np.roll(of, -d)) & near(own, np.roll(own, -d), at))
+                out_a.append(ids[hit])
+                out_b.append(ids[(hit + d) % n])
+                held += len(hit)
+                if held > 1 << 18:
+                    yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
+                    out_a, out_b, held = [], [], 0
+            if held:
+                yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
+            if high <= n // 2:
+                yield _members_out(key[s:e], root[s:e], signed[s:e], ids)
+
+
+def verified_components(
+    scratch: Scratch, nodes: DataFrame, bits: int, check: Callable[[Scratch, DataFrame], DataFrame], hot: int | None = None
+) -> DataFrame:
+    """(node, label) for the nodes of ``nodes`` (node, fp) that have links; equal labels mean the
+    same component of the links that ``check`` keeps, of all between fingerprints ``bits`` or fewer apart.
+
+    A link is left out only if links that were checked connect its ends. Where a bucket
+    has many links, a forest is checked first; what that leaves apart is checked in
+    rounds, each over four times as many places as the one before.
+    """
+    prints = scratch.save(nodes.select("fp").distinct(), "prints")
+    cold, warm = _states(scratch, prints, bits, hot)
+    parts = segments(bits)
+    cold = cold.join(nodes, "fp").select("fp", "cold", "node")
+    at_segments = _segment_near(parts, bits)
+    ways: list[tuple[DataFrame, Near]] = [
+        (cold.mapInArrow(lambda x: _variants(x, parts, ("node",)), "key long, fp long, node long"),
+         lambda x, y, key: at_segments(x, y, key & 63)),
+    ]
+    if warm is not None:
+        warm = warm.join(nodes, "fp").select("fp", "node")
+        # All that share a midpoint are near; equal ones share all midpoints, and their own is enough.
+        ways.append(
+            (warm.mapInArrow(lambda x: _midpoints(x, bits, ("node",)), "key long, fp long, node long"),
+             lambda x, y, key: (x != y) | (x == key.view(np.uint64)))
+        )
+    looked = []
+    for w, (rows, near) in enumerate(ways):
+        rows = rows.repartition("key").sortWithinPartitions("key", "fp", "node")
+        looked.append(scratch.save(rows.mapInArrow(lambda x, near=near: _first_look(x, near), _LOOKED_DDL), f"looked0_{w}"))
+    low, kept = 1, None
+    for k in count():
+        inner = scratch.inner(f"round{k}")
+        found = reduce(DataFrame.unionByName, [x.where("NOT open").select("a", "b") for x in looked])
+        new = check(inner, found)
+        kept = new if kept is None else kept.unionByName(new)
+        labels = components(inner, kept)
+        left = [x.where("open") for x in looked]
+        if all(x.isEmpty() for x in left):
+            return labels
+        named = labels.withColumnRenamed("node", "n")
+        looked, high = [], low * 4
+        for w, ((_, near), members) in enumerate(zip(ways, left)):
+            rows = members.join(named, members.a == named.n, "left")
+            rows = rows.select("key", "root", "fp", "a", F.coalesce("label", "a").alias("label"))
+            rows = rows.repartition("key", "root").sortWithinPartitions("key", "root", "fp", "a")
+            rows = rows.mapInArrow(lambda x, near=near, low=low, high=high: _next_look(x, near, low, high), _LOOKED_DDL)
+            looked.append(scratch.save(rows, f"looked{k + 1}_{w}"))
+        low = high
 
 
 def keep_first(
@@ -308,12 +471,15 @@ def keep_first(
     text, key = (f"c{names.index(c)}" for c in ("text", "doc_id"))
     rows = with_fingerprint(inner, text, width).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "rows")
-    thin = rows.select(F.col(key).alias("doc_id"), "fp", "row")
-    classes(scratch, thin, bits, check=lambda found: similar_links(scratch, rows, text, found, width, least))
+    first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("doc_id"), "row")).alias("first")
+    nodes = scratch.save(rows.groupBy("fp").agg(F.min("row").alias("node"), first), "nodes")
+    labels = verified_components(
+        scratch, nodes.select("node", "fp"), bits, lambda s, found: similar_links(s, rows, text, found, width, least)
+    )
+    labels = labels.withColumnRenamed("node", "n")
     # One row for each group: a group's component_id may be shared by others if ids repeat.
-    named = scratch.spark.read.parquet(f"{scratch.path}/named").select("fp", "label")
-    first = thin.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    first = first.join(named, "fp").groupBy("label").agg(F.min("first").alias("first"))
+    named = nodes.join(labels, nodes.node == labels.n, "left").select(F.coalesce("label", "node").alias("label"), "first")
+    first = named.groupBy("label").agg(F.min("first").alias("first"))
     kept = scratch.save(first.select(F.col("first.row").alias("kept")), "kept")
     out = rows.join(kept.hint("merge"), F.col("row") == F.col("kept"), "left_semi")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

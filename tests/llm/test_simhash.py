@@ -134,3 +134,30 @@ def test_keep_first(spark, edge, none):
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(4) == 1 and 8 not in ids and 2 not in ids and 1 in ids and 6 in ids
     assert simhash.keep_first(spark, none).collect() == []
+
+
+def first_of_groups(texts, bits=8, least=0.8):
+    """Least id of each component, by comparing all pairs of texts."""
+    prints = np.array([simhash.fingerprint(t.encode(), 5) for t in texts], np.int64).view(np.uint64)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= bits) + i + 1:
+            if root[i] != root[j] and simhash.similarity(texts[i].encode(), texts[j].encode(), 5) >= least:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+@pytest.mark.parametrize("bits, hot", [(8, None), (4, 20)])
+def test_dense_near_copies_as_by_all_pairs(spark, monkeypatch, bits, hot):
+    # Windows slide along a chain of words: only those a few steps apart are alike, yet all fingerprints are near.
+    rng = random.Random(7)
+    chains = [[f"w{rng.getrandbits(40)}" for _ in range(200)] for _ in range(6)]
+    texts = [" ".join(["buy cheap pills here now"] * 12 + c[2 * i : 2 * i + 60]) for c in chains for i in range(40)]
+    texts = list({simhash.fingerprint(t.encode(), 5): t for t in texts}.values())
+    rng.shuffle(texts)
+    want = first_of_groups(texts, bits)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    if hot:
+        monkeypatch.setattr(simhash, "hot_size", lambda bits: hot)
+    assert sorted(r.doc_id for r in simhash.keep_first(spark, df, bits=bits).collect()) == want
