@@ -56,16 +56,26 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes)).view(">i8")[0])
 
 
-def with_fingerprint(df: DataFrame, text: str, width: int, name: str = "fp") -> DataFrame:
-    """Adds the fingerprint; the other columns pass through."""
-    from pyspark.sql.types import LongType, StructType
+def words_digest(text: bytes) -> bytes:
+    """128 bits that are equal for texts of the same words in the same order, whose shingles are the same."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
+
+
+def with_fingerprint(df: DataFrame, text: str, width: int, name: str = "fp", digest: str | None = None) -> DataFrame:
+    """Adds the fingerprint and, if it has a name, the digest of the words; the other columns pass through."""
+    from pyspark.sql.types import BinaryType, LongType, StructType
 
     schema = StructType([*df.schema.fields]).add(name, LongType(), False)
+    if digest:
+        schema = schema.add(digest, BinaryType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = pa.array([fingerprint(x, width) for x in as_bytes(b.column(text))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], [*b.schema.names, name])
+            texts = as_bytes(b.column(text))
+            more = [pa.array([fingerprint(x, width) for x in texts], pa.int64())]
+            if digest:
+                more.append(pa.array(map(words_digest, texts), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -469,10 +479,11 @@ def keep_first(
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text, key = (f"c{names.index(c)}" for c in ("text", "doc_id"))
-    rows = with_fingerprint(inner, text, width).withColumn("row", F.monotonically_increasing_id())
+    rows = with_fingerprint(inner, text, width, digest="digest").withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "rows")
+    # Only texts of equal words are one node unverified; equal fingerprints may have other texts.
     first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("doc_id"), "row")).alias("first")
-    nodes = scratch.save(rows.groupBy("fp").agg(F.min("row").alias("node"), first), "nodes")
+    nodes = scratch.save(rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("row").alias("node"), first), "nodes")
     labels = verified_components(
         scratch, nodes.select("node", "fp"), bits, lambda s, found: similar_links(s, rows, text, found, width, least)
     )

@@ -161,3 +161,13 @@ def test_dense_near_copies_as_by_all_pairs(spark, monkeypatch, bits, hot):
     if hot:
         monkeypatch.setattr(simhash, "hot_size", lambda bits: hot)
     assert sorted(r.doc_id for r in simhash.keep_first(spark, df, bits=bits).collect()) == want
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rng = random.Random(1)
+    own = [[f"w{rng.getrandbits(40)}" for _ in range(60)] for _ in range(3)]
+    texts = [" ".join(["buy cheap pills here now"] * 60 + words) for words in (own[0][:20], own[1][:40], own[2][:30], own[1][:41])]
+    texts.append(texts[0].upper())
+    assert len({simhash.fingerprint(t.encode(), 5) for t in texts}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(spark, df).collect()) == [0, 1, 2]
