@@ -154,17 +154,26 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy |
     sample depends on the rows only, not on their order or partitions.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.select("lang", "text", F.xxhash64("lang", "text").alias("h"))
+    # Copies have one hash and pass or fail together, so it is distinct hashes that are shared out.
+    sizes = rows.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("distinct"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return None
-    # A hash threshold that lets about twice the wanted rows of each language through, then the least of those.
-    h = F.xxhash64("lang", "text")
-    wanted = F.lit(None).cast("long")
-    for r in sizes:
-        share = min(1.0, 2.0 * per_language / r["count"])
-        wanted = F.when(F.col("lang") == r["lang"], F.lit(min(2**63 - 1, int((share * 2 - 1) * 2**63)))).otherwise(wanted)
-    near = rows.select("lang", "text", h.alias("h")).where(F.col("h") <= wanted)
-    ids = near.select("lang", "h").distinct().toPandas().sort_values(["lang", "h"]).groupby("lang").head(per_language)
+    # A hash threshold that lets about twice the wanted hashes of each language through, then the least of those.
+    share = {r["lang"]: 2.0 * per_language / r["distinct"] for r in sizes}
+    while True:
+        wanted = F.lit(None).cast("long")
+        for lang, x in share.items():
+            wanted = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int((min(1.0, x) * 2 - 1) * 2**63)))).otherwise(wanted)
+        near = rows.where(F.col("h") <= wanted)
+        ids = near.select("lang", "h").distinct().toPandas().sort_values(["lang", "h"]).groupby("lang").head(per_language)
+        found = ids["lang"].value_counts()
+        short = [r["lang"] for r in sizes if found.get(r["lang"], 0) < min(per_language, r["distinct"])]
+        if not short:
+            break
+        for lang in short:
+            share[lang] *= 2
     last = F.lit(None).cast("long")
     for lang, top in ids.groupby("lang")["h"].max().items():
         last = F.when(F.col("lang") == lang, F.lit(int(top))).otherwise(last)

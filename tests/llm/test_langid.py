@@ -59,3 +59,11 @@ def test_keep_identified(spark, edge, none):
     assert sorted(i for i in ids if i is not None) == [4, 4, 5, 6, 8, 9] and ids.count(None) == 1
     assert all(r.lang is not None for r in rows)
     assert langid.keep_identified(spark, none).collect() == []
+
+
+def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "Hierarchy", lambda x, langs: seen.append((len(x), langs)))
+    rows = [("one page of many copies", "aa")] * 2000 + [(f"other page {i}", "aa") for i in range(60)] + [(f"seite {i}", "de") for i in range(30)]
+    langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 50)
+    assert seen == [(80, ["aa"] * 50 + ["de"] * 30)]
