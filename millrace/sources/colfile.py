@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Fixed values of the format.
@@ -252,7 +253,7 @@ class _Written(WriterCommitMessage):
     path: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         for f in schema:
             if f.dataType not in (LongType(), StringType()):
@@ -262,20 +263,22 @@ class _Writer(DataSourceWriter):
     def _fs(self):
         return pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """One file for a task, under a name that no other attempt has."""
         from pyspark import TaskContext
 
-        values: list[list] = [[] for _ in self.schema]
-        for row in rows:
-            for held, v in zip(values, row):
-                if v is None:
-                    raise ValueError("nulls can't be stored")
-                held.append(v.encode() if isinstance(v, str) else v)
-        if not values[0]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return _Written("")
-        kinds = [INT64_TAG if f.dataType == LongType() else VARCHAR_TAG for f in self.schema]
-        data = dump([(f.name, k, v) for f, k, v in zip(self.schema, kinds, values)], self.offsets)
+        columns = []
+        for f, column in zip(self.schema, pa.Table.from_batches(held).columns):
+            if column.null_count:
+                raise ValueError("nulls can't be stored")
+            if f.dataType == LongType():
+                columns.append((f.name, INT64_TAG, column.to_numpy()))
+            else:
+                columns.append((f.name, VARCHAR_TAG, column.cast(pa.large_binary()).to_pylist()))
+        data = dump(columns, self.offsets)
         fs, root = self._fs()
         fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
@@ -284,15 +287,15 @@ class _Writer(DataSourceWriter):
         return _Written(name)
 
     def commit(self, messages: list) -> None:
+        """The new files get their names before the old ones go, so that an end halfway loses nothing."""
         fs, root = self._fs()
         fs.create_dir(root, recursive=True)
-        if self.overwrite:
-            for f in fs.get_file_info(pafs.FileSelector(root)):
-                if f.base_name.endswith(SUFFIX):
-                    fs.delete_file(f.path)
+        old = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(SUFFIX)] if self.overwrite else []
         for m in messages:
             if m and m.path:
                 fs.move(f"{root}/.{m.path}", f"{root}/{m.path}{SUFFIX}")
+        for path in old:
+            fs.delete_file(path)
 
     def abort(self, messages: list) -> None:
         fs, root = self._fs()
@@ -319,11 +322,17 @@ class ColumnFileSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(schema, dict(self.options))
 
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(schema, dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, and to the one that is active, where Spark looks it up."""
+    """Makes the format known to a session, and to the one that is active, where Spark looks it up.
+
+    A session made from one that knows the format may know it already."""
     for session in {spark, SparkSession.getActiveSession() or spark}:
-        session.dataSource.register(ColumnFileSource)
+        try:
+            session.dataSource.register(ColumnFileSource)
+        except AnalysisException as e:
+            if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
+                raise

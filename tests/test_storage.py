@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from millrace.engine import Engine
 from millrace.operators import checksum, stats
 from millrace.sources import colfile, logs
 
@@ -100,6 +101,16 @@ def test_data_source(spark, tmp_path):
     assert some.columns == ["id"] and some.count() == 50
     df.limit(2).write.format("columnfile").option("path", target).mode("overwrite").save()
     assert spark.read.format("columnfile").load(target).count() == 2
+    with pytest.raises(Exception, match="nulls can't be stored"):
+        spark.createDataFrame([(None, "x")], "id long, name string").write.format("columnfile").option("path", target).mode("overwrite").save()
+    assert spark.read.format("columnfile").load(target).count() == 2
+
+
+def test_data_source_is_registered_once(spark):
+    """Whatever session asks for it first, and after an engine has made one of its own."""
+    for session in (spark, spark.newSession(), Engine(spark).spark, spark, spark.newSession()):
+        colfile.register(session)
+        colfile.register(session)
 
 
 def slow_crc(data):
