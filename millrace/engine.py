@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import threading
 from concurrent.futures import Future, ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans import request, select
 from .plans.problems import Invalid
@@ -35,12 +37,20 @@ def _message(error: BaseException) -> str:
     return text.splitlines()[0][:500] if text else type(error).__name__
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A result that was written: its folder, and the columns that its rows are in the order of."""
+
+    path: str
+    order: tuple[str, ...]
+
+
 @dataclass
 class Job:
     id: str
     definition: object
     state: str = CREATED
-    result: pa.Table | None = None
+    result: pa.Table | Stored | None = None
     error: list[tuple[str, str]] | None = None
     future: Future | None = None
 
@@ -50,7 +60,11 @@ class Job:
 
 
 class Engine:
-    """Tables and queries over one Spark session. All methods may be called from any thread."""
+    """Tables and queries over one Spark session. All methods may be called from any thread.
+
+    With a folder, results of jobs are written there and read as far as they are asked
+    for; without one they are kept in memory.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, data_root: str | None = None, workers: int = 8):
         self.spark = own_session(spark)
@@ -59,6 +73,8 @@ class Engine:
         if folder:
             os.makedirs(os.path.join(folder, "tables"), exist_ok=True)
         self.catalog = Catalog(folder)
+        if folder:
+            self.catalog._remove(os.path.join(folder, "results"))  # of jobs that nobody knows any more
         self._jobs: dict[str, Job] = {}
         self._lock = threading.Lock()
         self._pool = ThreadPoolExecutor(workers, thread_name_prefix="query")
@@ -118,20 +134,45 @@ class Engine:
                 raise Invalid((f"table {query.table} does not exist", ""))
             return self._start("COPY", definition, lambda: self.copy(query) and None)
         plan = select.plan(query, self.catalog)
-        return self._start("SELECT", definition, lambda: self._collect(plan))
+        return self._start("SELECT", definition, lambda: self._run(plan))
 
-    def _collect(self, plan: select.Plan) -> pa.Table:
+    def _run(self, plan: select.Plan) -> pa.Table | Stored:
         try:
-            table = select.frame(self.spark, plan, hidden=True).toArrow()
-            if plan.snapshot:
-                if not plan.order_by:
-                    table = table.sort_by([(n, "ascending") for n in select.HIDDEN])
-                table = table.drop_columns(list(select.HIDDEN))
-            return table
+            if not self.folder:
+                table = select.frame(self.spark, plan, hidden=True).toArrow()
+                if plan.snapshot:
+                    if not plan.order_by:
+                        table = table.sort_by([(n, "ascending") for n in select.HIDDEN])
+                    table = table.drop_columns(list(select.HIDDEN))
+                return table
+            path = os.path.join(self.folder, "results", f"{self.catalog.unique_time()}.parquet")
+            if plan.snapshot and plan.limit and plan.where is not None and not plan.order_by:
+                self._first_matches(plan, path)
+            else:
+                select.frame(self.spark, plan, hidden=True).write.parquet(path)
+            return Stored(path, select.HIDDEN if plan.snapshot and not plan.order_by else ())
         finally:
             if plan.snapshot:
                 self.catalog.release(plan.snapshot)
 
+    def _first_matches(self, plan: select.Plan, path: str) -> None:
+        """Goes through the files, four times as many in each step, until enough rows are found."""
+        todo, step, left = select.files(self.spark, plan.snapshot.batches), 1, plan.limit
+        while True:
+            pieces = list(islice(todo, step))
+            select.frame(self.spark, replace(plan, limit=left), True, pieces).write.mode("append").parquet(path)
+            left = plan.limit - self.spark.read.parquet(path).count()
+            if not pieces or left <= 0:
+                return
+            step *= 4
+
+    def _read(self, stored: Stored, limit: int) -> pa.Table:
+        df = self.spark.read.parquet(stored.path)
+        names = [c for c in df.columns if c not in select.HIDDEN]
+        order = stored.order or ("_metadata.file_path", "_metadata.row_index")
+        df = df.orderBy(*map(F.col, order)).select(*names)
+        return (df.limit(limit) if limit > 0 else df).toArrow()
+
     def _start(self, kind: str, definition: object, work) -> str:
         job = Job(f"{kind}_{self.catalog.unique_time()}", definition)
 
@@ -168,10 +209,12 @@ class Engine:
         No rows: no columns either. Flushing forgets the job.
         """
         job = self.job(job_id)
-        table = job.result
+        table = self._read(job.result, limit) if isinstance(job.result, Stored) else job.result
         if flush:
             with self._lock:
                 self._jobs.pop(job_id, None)
+            if isinstance(job.result, Stored):
+                self.catalog._remove(job.result.path)
         if limit > 0:
             table = table.slice(0, limit)
         return {"rowCount": table.num_rows, "columns": [c.to_pylist() for c in table.columns] if table.num_rows else []}

@@ -31,7 +31,7 @@ class Service:
             ("GET", r"/tables", self.tables), ("GET", r"/table/([^/]+)", self.table), ("DELETE", r"/table/([^/]+)", self.drop),
             ("PUT", r"/table", self.create), ("GET", r"/queries", self.queries), ("GET", r"/query/([^/]+)", self.query),
             ("POST", r"/query", self.submit), ("GET", r"/result/([^/]+)", self.result), ("GET", r"/error/([^/]+)", self.error),
-            ("GET", r"/system/info", self.info),
+            ("GET", r"/system/info", self.info), ("GET", r"/api/openapi\.json", self.specification),
         ]
 
     def answer(self, method: str, path: str, body: bytes) -> Answer:
@@ -101,6 +101,29 @@ class Service:
             return 400, {"message": "Query did not fail"}
         return 200, Invalid(*job.error).report()
 
+    def specification(self, body: bytes) -> Answer:
+        """An OpenAPI description of the operations."""
+        paths: dict[str, dict] = {}
+        for verb, pattern, handler in self.routes[:-1]:
+            path = pattern.replace("([^/]+)", "{id}")
+            about = {"operationId": handler.__name__, "responses": {"200": {"description": "done"}, "400": {"description": "not valid"}}}
+            if "{id}" in path:
+                about["parameters"] = [{"name": "id", "in": "path", "required": True, "schema": {"type": "string"}}]
+                about["responses"]["404"] = {"description": "not found"}
+            if verb in ("PUT", "POST"):
+                about["requestBody"] = {"required": True, "content": {"application/json": {"schema": {"type": "object"}}}}
+            paths.setdefault(path, {})[verb.lower()] = about
+        return 200, {"openapi": "3.0.3", "info": {"title": "millrace", "version": INTERFACE_VERSION}, "paths": paths}
+
+    def page(self) -> str:
+        """The operations for a reader, as HTML."""
+        rows = [
+            f"<tr><td>{verb.upper()}</td><td>{path}</td><td>{about['operationId']}</td></tr>"
+            for path, verbs in self.specification(b"")[1]["paths"].items() for verb, about in verbs.items()
+        ]
+        table = "<table><tr><th>method</th><th>path</th><th>operation</th></tr>" + "".join(rows) + "</table>"
+        return f'<!doctype html><title>millrace</title><h1>millrace {INTERFACE_VERSION}</h1>{table}<a href="/api/openapi.json">openapi.json</a>'
+
     def info(self, body: bytes) -> Answer:
         up = int(time.time() - self.started)
         return 200, {"author": AUTHOR, "version": VERSION, "interfaceVersion": INTERFACE_VERSION, "uptime": up}
@@ -117,14 +140,18 @@ def server(engine: Engine, host: str = "127.0.0.1", port: int = 8080) -> Threadi
             began = time.perf_counter()
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             path = urlsplit(self.path).path
+            kind = "application/json"
             try:
-                status, value = service.answer(self.command, path, body)
+                if (self.command, path.rstrip("/")) == ("GET", "/swagger"):
+                    status, kind, data = 200, "text/html", service.page().encode()
+                else:
+                    status, value = service.answer(self.command, path, body)
+                    data = b"" if value is None else json.dumps(value, ensure_ascii=False).encode() + b"\n"
             except Exception:
                 log.exception("%s %s", self.command, path)
-                status, value = 500, {"message": "internal error"}
-            data = b"" if value is None else json.dumps(value, ensure_ascii=False).encode() + b"\n"
+                status, data = 500, b'{"message": "internal error"}\n'
             self.send_response(status)
-            self.send_header("Content-Type", "application/json; charset=UTF-8")
+            self.send_header("Content-Type", f"{kind}; charset=UTF-8")
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

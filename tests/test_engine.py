@@ -7,6 +7,7 @@ import urllib.request
 
 import pytest
 
+from millrace import engine as engine_module
 from millrace import http_api
 from millrace.catalogue import col, fn, lit, op
 from millrace.engine import COMPLETED, FAILED, Engine
@@ -143,6 +144,52 @@ def test_results_keep_the_order_of_loads(two_files):
     assert got["columns"] == [[13, 14, 15, 16]]
 
 
+def parquet(engine, spark, tmp_path, parts=6, rows=10):
+    """A table t of several files, ids ascending by file."""
+    for i in range(parts):
+        part = spark.range(i * rows, (i + 1) * rows).selectExpr("id", "concat('row', id) AS name")
+        part.coalesce(1).write.parquet(str(tmp_path / f"made{i}"))
+        (found,) = (tmp_path / f"made{i}").glob("*.parquet")
+        (tmp_path / "many").mkdir(exist_ok=True)
+        found.rename(tmp_path / "many" / f"part-{i}.parquet")
+    engine.attach("t", str(tmp_path / "many"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_limit_opens_only_the_files_it_needs(engine, spark, tmp_path):
+    parquet(engine, spark, tmp_path)
+    for limit, files in ((0, 0), (1, 1), (10, 1), (11, 2), (25, 3), (60, 6), (99, 6)):
+        df = engine.select({"columnClauses": [col("id", "t")], "limitClause": {"limit": limit}})
+        assert sorted(r[0] for r in df.collect()) == list(range(min(limit, 60)))
+        assert len({f for f in df.inputFiles()}) == files
+        assert "Sort" not in plan_of(df) and "Exchange" not in plan_of(df) and "TakeOrdered" not in plan_of(df)
+    assert [r.id for r in engine.scan("t", 12).collect()] == list(range(12))
+
+
+def test_limited_matches_end_early(engine, spark, tmp_path, monkeypatch):
+    parquet(engine, spark, tmp_path)
+    steps, plain = [], engine_module.select.frame
+    monkeypatch.setattr(engine_module.select, "frame", lambda s, p, hidden=False, pieces=None: (steps.append(pieces and len(pieces)), plain(s, p, hidden, pieces))[1])
+    where = op("GREATER_EQUAL", col("id"), lit(8))
+    for limit, want in ((1, [1]), (2, [1]), (3, [1, 4]), (42, [1, 4]), (43, [1, 4, 1]), (100, [1, 4, 1, 0])):
+        steps.clear()
+        got = rows(engine, {"columnClauses": [col("id", "t")], "whereClause": where, "limitClause": {"limit": limit}})
+        assert got["columns"] == [list(range(8, min(60, 8 + limit)))] and [s or 0 for s in steps] == want
+    assert rows(engine, {"columnClauses": [col("id", "t")], "whereClause": where, "limitClause": {"limit": 0}})["rowCount"] == 0
+
+
+def test_results_are_kept_in_the_folder(two_files, tmp_path):
+    kept = tmp_path / "engine" / "results"
+    job = two_files.wait(two_files.submit(request.select({"columnClauses": [col("id", "t")], "orderByClause": [{"columnIndex": 0}]})))
+    assert len(os.listdir(kept)) == 1
+    assert two_files.result(job.id, 3)["columns"] == [[19, 18, 17]]
+    assert two_files.result(job.id, flush=True)["columns"] == [list(range(19, -1, -1))]
+    assert os.listdir(kept) == []
+
+
 @pytest.mark.parametrize(
     ("order", "limit", "expected"),
     [
@@ -239,7 +286,7 @@ def call(engine):
     server = http_api.server(engine, port=0)
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
-    def run(method, path, body=None):
+    def run(method, path, body=None, raw=False):
         data = None if body is None else body if isinstance(body, bytes) else json.dumps(body).encode()
         r = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data, method=method)
         try:
@@ -247,7 +294,7 @@ def call(engine):
                 status, text = answer.status, answer.read()
         except urllib.error.HTTPError as e:
             status, text = e.code, e.read()
-        return status, json.loads(text) if text else None
+        return status, text.decode() if raw else json.loads(text) if text else None
 
     yield run
     server.shutdown()
@@ -297,3 +344,6 @@ def test_http(call, engine, tmp_path):
     assert call("DELETE", f"/table/{table}")[0] == 404
     assert call("GET", "/system/info")[1]["interfaceVersion"] == "2.1.0"
     assert call("GET", "/nowhere")[0] == 404 and call("DELETE", "/tables")[0] == 405
+    status, spec = call("GET", "/api/openapi.json")
+    assert status == 200 and sorted(spec["paths"]["/table/{id}"]) == ["delete", "get"] and "post" in spec["paths"]["/query"]
+    assert call("GET", "/swagger", raw=True) == (200, http_api.Service(engine).page())
