@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, own_session
+from .http_api import Service
 from .operators import checksum, stats
 from .plans import request
+from .plans.problems import Invalid
 from .sources import colfile, logs
+from .sources.csv_copy import CopyFailed
 
 # Short forms for the request grammar.
 
@@ -271,12 +278,21 @@ _add(
 )
 
 
+_HELD: list[tempfile.TemporaryDirectory] = []
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder for a query's tables: in the shared folder if there is one."""
+    """A new folder for a query's tables, in the shared folder. Only where driver and executors
+    are one process it may be a local one, which goes when the process ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared and shared.startswith("file://"):
-        return tempfile.mkdtemp(prefix="millrace-", dir=shared.removeprefix("file://"))
-    return tempfile.mkdtemp(prefix="millrace-")
+    if shared:
+        name = f"{shared.removeprefix('file://')}/millrace-{uuid.uuid4().hex}"
+        os.makedirs(name)
+        return name
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    _HELD.append(tempfile.TemporaryDirectory(prefix="millrace-"))
+    return _HELD[-1].name
 
 
 def copy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,6 +354,327 @@ _add(
 )
 
 
+def logs_in_a_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generated log table goes to column files, and its statistics come from them."""
+    colfile.register(spark)
+    folder = _folder(spark)
+    logs.logs(spark, start=1000).write.format(colfile.FORMAT).option("path", f"{folder}/logs").mode("append").save()
+    found = stats.column_stats(spark.read.format(colfile.FORMAT).load(f"{folder}/logs"))
+    sizes = [F.col(f"{c}_bytes") / F.col("rows") for c in ("host", "log_level")]
+    return found.select(
+        "rows", "timestamp_mean", F.round("value_mean", -2).alias("value_mean"),
+        *[F.round(s, 1).alias(f"{c}_size") for s, c in zip(sizes, ("host", "log_level"))],
+        *[(F.col(f"{c}_ascii_bytes") == F.col(f"{c}_bytes")).alias(f"{c}_ascii") for c in ("host", "log_level")],
+    )
+
+
+_add(
+    "logs_in_a_file", logs_in_a_file,
+    """SELECT CAST(100000 AS BIGINT) AS rows, CAST(50999.5 AS DOUBLE) AS timestamp_mean, CAST(5000 AS DOUBLE) AS value_mean,
+       CAST(round((11 + 8 + 9 + 9 + 11) / 5.0, 1) AS DOUBLE) AS host_size, CAST(round((4 + 4 + 5 + 5) / 4.0, 1) AS DOUBLE) AS log_level_size,
+       true AS host_ascii, true AS log_level_ascii""",
+)
+
+
+def batch_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of several sizes through two column files; none spans both."""
+    rows = sorted(map(tuple, spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect()))
+    folder, out = _folder(spark), []
+    paths = [f"{folder}/{i}{colfile.SUFFIX}" for i in range(2)]
+    for path, part in zip(paths, (rows[:15], rows[15:])):
+        columns = [("k", colfile.INT64_TAG, [k for k, _ in part]), ("n", colfile.VARCHAR_TAG, [n.encode() for _, n in part])]
+        with open(path, "wb") as f:
+            f.write(colfile.dump(columns))
+    for size in (4, 10, 100):
+        for i, b in enumerate(colfile.read_batches(paths, size)):
+            out.append((size, i, len(b["k"]), int(b["k"][0]), b["n"][-1].decode()))
+    return spark.createDataFrame(out, "size bigint, batch bigint, rows bigint, first bigint, last string")
+
+
+_add(
+    "batch_reader", batch_reader,
+    """WITH s AS (SELECT unnest([4, 10, 100]) AS size),
+       r AS (SELECT size, n_nationkey AS k, n_name AS n, n_nationkey >= 15 AS file, (n_nationkey - 15 * (n_nationkey >= 15)::INT) // size AS part
+             FROM s, nation)
+       SELECT CAST(size AS BIGINT) AS size, row_number() OVER (PARTITION BY size ORDER BY file, part) - 1 AS batch, count(*) AS rows,
+              CAST(min(k) AS BIGINT) AS "first", max_by(n, k) AS "last" FROM r GROUP BY size, file, part""",
+)
+
+
+# An engine's answers, as rows.
+
+
+def _answers(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "step bigint, asked string, answer string")
+
+
+def _answers_sql(rows: list[tuple[str, str]]) -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(a)}, {quoted(b)})" for i, (a, b) in enumerate(rows))
+    return f"SELECT CAST(step AS BIGINT) AS step, asked, answer FROM (VALUES {values}) AS t(step, asked, answer)"
+
+
+def _plain(value: object) -> str:
+    """JSON without the times in ids."""
+    return re.sub(r"_\d{15,}", "_N", json.dumps(value))
+
+
+_PEOPLE = [{"name": "id", "type": "INT64"}, {"name": "name", "type": "VARCHAR"}]
+
+
+def api_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session over the interface: tables, a load, queries, results, errors, and a table's end."""
+    folder = _folder(spark)
+    with open(f"{folder}/people.csv", "w") as f:
+        f.write("1,ann\n2,bob\n3,cy\n")
+    engine = Engine(spark, f"{folder}/engine", folder)
+    service, out = Service(engine), []
+
+    def call(method: str, path: str, body: object = None) -> object:
+        status, value = service.answer(method, path, b"" if body is None else json.dumps(body).encode())
+        if isinstance(value, dict):
+            value = {k: v for k, v in value.items() if k != "uptime"}
+        out.append((_plain(f"{method} {path}")[1:-1], _plain([status, value])))
+        return value
+
+    def query(definition: dict) -> str:
+        job = call("POST", "/query", {"queryDefinition": definition})
+        engine.wait(job)
+        return job
+
+    call("GET", "/system/info")
+    call("GET", "/tables")
+    people = call("PUT", "/table", {"name": "people", "columns": _PEOPLE})
+    call("PUT", "/table", {"name": "people", "columns": _PEOPLE})
+    call("PUT", "/table", {"name": "odd", "columns": [{"name": "a", "type": "FLOAT"}, {"name": "a", "type": "INT64"}]})
+    call("GET", "/tables")
+    call("GET", f"/table/{people}")
+    call("GET", "/table/nobody")
+    load = query({"sourceFilepath": "people.csv", "destinationTableName": "people"})
+    call("GET", f"/query/{load}")
+    call("GET", f"/result/{load}")
+    names = query({"columnClauses": [col("id", "people"), fn("UPPER", col("name"))], "orderByClause": [{"columnIndex": 0, "ascending": False}]})
+    call("GET", f"/result/{names}")
+    call("GET", f"/result/{names}", {"rowLimit": 2})
+    call("GET", f"/error/{names}")
+    call("GET", "/queries")
+    call("GET", f"/result/{names}", {"flushResult": True})
+    call("GET", f"/result/{names}")
+    failed = query({"columnClauses": [op("DIVIDE", lit(1), op("SUBTRACT", col("id", "people"), lit(2)))]})
+    call("GET", f"/result/{failed}")
+    call("GET", f"/error/{failed}")
+    call("POST", "/query", {"queryDefinition": {"columnClauses": [col("x", "people")], "orderByClause": [{"columnIndex": 7}]}})
+    call("DELETE", f"/table/{people}")
+    call("DELETE", f"/table/{people}")
+    call("GET", "/tables")
+    engine.close()
+    return _answers(spark, out)
+
+
+_N = "people_N"
+_add(
+    "api_session", api_session,
+    _answers_sql([
+        ("GET /system/info", '[200, {"author": "millrace", "version": "1.0.0", "interfaceVersion": "2.1.0"}]'),
+        ("GET /tables", "[200, []]"),
+        ("PUT /table", f'[200, "{_N}"]'),
+        ("PUT /table", '[400, {"problems": [{"error": "table people already exists"}]}]'),
+        ("PUT /table", '[400, {"problems": [{"error": "Invalid column type: FLOAT"}, {"error": "Duplicate column name: a"}]}]'),
+        ("GET /tables", f'[200, [{{"tableId": "{_N}", "name": "people"}}]]'),
+        (f"GET /table/{_N}", f'[200, {{"name": "people", "columns": {json.dumps(_PEOPLE)}}}]'),
+        ("GET /table/nobody", '[404, {"message": "Table not found"}]'),
+        ("POST /query", '[200, "COPY_N"]'),
+        ("GET /query/COPY_N", '[200, {"queryId": "COPY_N", "status": "COMPLETED", "queryDefinition": {"sourceFilepath": "people.csv", "destinationTableName": "people"}, "isResultAvailable": true}]'),
+        ("GET /result/COPY_N", '[400, {"message": "COPY queries do not return a result set"}]'),
+        ("POST /query", '[200, "SELECT_N"]'),
+        ("GET /result/SELECT_N", '[200, [{"rowCount": 3, "columns": [[3, 2, 1], ["CY", "BOB", "ANN"]]}]]'),
+        ("GET /result/SELECT_N", '[200, [{"rowCount": 2, "columns": [[3, 2], ["CY", "BOB"]]}]]'),
+        ("GET /error/SELECT_N", '[400, {"message": "Query did not fail"}]'),
+        ("GET /queries", '[200, [{"queryId": "COPY_N", "status": "COMPLETED"}, {"queryId": "SELECT_N", "status": "COMPLETED"}]]'),
+        ("GET /result/SELECT_N", '[200, [{"rowCount": 3, "columns": [[3, 2, 1], ["CY", "BOB", "ANN"]]}]]'),
+        ("GET /result/SELECT_N", '[404, {"message": "Query not found"}]'),
+        ("POST /query", '[200, "SELECT_N"]'),
+        ("GET /result/SELECT_N", '[400, {"message": "Query is in state FAILED"}]'),
+        ("GET /error/SELECT_N", '[200, {"problems": [{"error": "division by zero"}]}]'),
+        ("POST /query", '[400, {"problems": [{"error": "column x not found in table people"}, {"error": "invalid column index: 7", "context": "OrderByClause 0"}]}]'),
+        (f"DELETE /table/{_N}", "[200, null]"),
+        (f"DELETE /table/{_N}", '[404, {"message": "Table not found"}]'),
+        ("GET /tables", "[200, []]"),
+    ]),
+)
+
+
+def failing_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads that fail, and that they leave nothing."""
+    folder = _folder(spark)
+    engine = Engine(spark, f"{folder}/engine", folder)
+    engine.catalog.create("t", [("id", "INT64"), ("name", "VARCHAR")])
+    out = []
+
+    def load(name: str, text: str | None, columns: tuple[str, ...] | None = None, header: bool = False) -> None:
+        if text is not None:
+            with open(f"{folder}/{name}.csv", "w") as f:
+                f.write(text)
+        try:
+            engine.copy(request.Copy(f"{name}.csv", "t", columns, header))
+            answer = "loaded"
+        except CopyFailed as e:
+            answer = str(e)
+        out.append((name, answer))
+
+    load("not a number", "1,a\nx,b\n")
+    load("a fraction", "1.5,a\n")
+    load("a blank before", " 1,a\n")
+    load("beyond 64 bits", "9223372036854775808,a\n")
+    load("too few fields", "1,a\n2\n")
+    load("too many fields", "1,a\n2,b,c\n")
+    load("empty", "")
+    load("header only", "id,name\n", header=True)
+    load("unknown column", "1,a\n", ("id", "nope"))
+    load("missing", None)
+    out.append(("batches", str(len(engine.catalog.by_name("t").batches))))
+    out.append(("files", str(len(os.listdir(f"{folder}/engine/tables")))))
+    load("good", "1,a\n-9223372036854775808,\"x,\"\"y\"\"\"\n")
+    out.append(("rows", str(sorted(map(tuple, engine.select({"columnClauses": [col("id", "t"), col("name")]}).collect())))))
+    engine.close()
+    return _answers(spark, out)
+
+
+_add(
+    "failing_copies", failing_copies,
+    _answers_sql([
+        ("not a number", "row 1, col id: invalid INT64"), ("a fraction", "row 0, col id: invalid INT64"),
+        ("a blank before", "row 0, col id: invalid INT64"), ("beyond 64 bits", "row 0, col id: invalid INT64"),
+        ("too few fields", "row 1 has 1 columns, expected 2"), ("too many fields", "row 1 has 3 columns, expected 2"),
+        ("empty", "empty CSV, no data imported"), ("header only", "empty CSV, no data imported"),
+        ("unknown column", "column nope from CSV mapping not found in table definition"),
+        ("missing", "failed to open the CSV file: no such file"), ("batches", "0"), ("files", "0"), ("good", "loaded"),
+        ("rows", "[(-9223372036854775808, 'x,\"y\"'), (1, 'a')]"),
+    ]),
+)
+
+
+def failing_selects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that aren't valid, with all their problems, and some that fail when they run."""
+    engine = Engine(spark)
+    engine.attach("nation", f"{sf_dir}/nation.parquet")
+    out = []
+
+    def ask(name: str, definition: dict) -> None:
+        try:
+            job = engine.wait(engine.submit(request.select(definition)))
+            out.append((name, f"{job.state} {job.error}"))
+        except Invalid as e:
+            out.append((name, _plain(e.report())))
+
+    key, name = col("n_nationkey", "nation"), col("n_name")
+    ask("division by zero", {"columnClauses": [op("DIVIDE", key, op("SUBTRACT", key, key))]})
+    ask("booleans compared", {"columnClauses": [op("EQUAL", op("LESS_THAN", key, lit(3)), lit(True))]})
+    ask("no columns", {"columnClauses": []})
+    ask("no table", {"columnClauses": [col("a")]})
+    ask("unknown table", {"columnClauses": [col("a", "nowhere")]})
+    ask("all at once", {
+        "columnClauses": [key, col("a"), op("ADD", name, lit(1))], "whereClause": key,
+        "orderByClause": [{"columnIndex": 3}], "limitClause": {"limit": -1},
+    })
+    ask("held batches", {"columnClauses": [op("ADD", lit(len(engine.catalog._held)), lit("x"))]})
+    engine.close()
+    return _answers(spark, out)
+
+
+_add(
+    "failing_selects", failing_selects,
+    _answers_sql([
+        ("division by zero", "FAILED [('division by zero', '')]"),
+        ("booleans compared", "FAILED [('comparison not implemented for this type', '')]"),
+        ("no columns", '{"problems": [{"error": "No columns specified for SELECT"}]}'),
+        ("no table", '{"problems": [{"error": "no table name specified and query contains column references"}]}'),
+        ("unknown table", '{"problems": [{"error": "table nowhere does not exist"}]}'),
+        ("all at once", '{"problems": [{"error": "column a not found in table nation"}, {"error": "operator ADD requires INT64, got 1 and 0"}, '
+                        '{"error": "where expression must return boolean", "context": "WhereClause"}, '
+                        '{"error": "invalid column index: 3", "context": "OrderByClause 0"}, {"error": "limit must be non-negative"}]}'),
+        ("held batches", '{"problems": [{"error": "operator ADD requires INT64, got 0 and 1"}]}'),
+    ]),
+)
+
+
+def catalog_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a new engine over the same folder knows, and when a dropped table's files go."""
+    folder = _folder(spark)
+    with open(f"{folder}/in.csv", "w") as f:
+        f.write("1\n2\n")
+    first = Engine(spark, f"{folder}/engine", folder)
+    first.catalog.create("kept", [("a", "INT64")])
+    first.catalog.create("gone", [("b", "VARCHAR")])
+    for name in ("kept", "gone", "kept"):
+        first.copy(request.Copy("in.csv", name))
+    first.close()
+    engine = Engine(spark, f"{folder}/engine", folder)
+    files = lambda: str(len(os.listdir(f"{folder}/engine/tables")))
+    rows = lambda: str([r[0] for r in engine.select({"columnClauses": [col("a", "kept")]}).collect()])
+    out = [("tables", ",".join(n for _, n in engine.catalog.tables())), ("files", files()), ("rows", rows())]
+    snapshot = engine.catalog.acquire("gone")
+    engine.catalog.drop(engine.catalog.by_name("gone").id)
+    out += [("tables after a drop", ",".join(n for _, n in engine.catalog.tables())), ("files while they are read", files())]
+    engine.catalog.release(snapshot)
+    out += [("files afterwards", files()), ("rows afterwards", rows())]
+    engine.close()
+    return _answers(spark, out)
+
+
+_add(
+    "catalog_restart", catalog_restart,
+    _answers_sql([
+        ("tables", "kept,gone"), ("files", "3"), ("rows", "[1, 2, 1, 2]"), ("tables after a drop", "kept"),
+        ("files while they are read", "3"), ("files afterwards", "2"), ("rows afterwards", "[1, 2, 1, 2]"),
+    ]),
+)
+
+
+# CRC-64 bit by bit: eight steps of division for each byte of s, from its relation (k, s) of ASCII strings.
+def _crc_sql(relation: str) -> str:
+    return f"""RECURSIVE src AS ({relation}), crc(k, s, j, c) AS (
+        SELECT k, s, 0, 0::UBIGINT FROM src
+        UNION ALL
+        SELECT k, s, j + 1, CASE WHEN x >> 63 = 1 THEN xor((x & 9223372036854775807::UBIGINT) << 1, {checksum.POLYNOMIAL}::UBIGINT) ELSE x << 1 END
+        FROM (SELECT k, s, j, CASE WHEN j % 8 = 0 THEN xor(c, ascii(substr(s, j // 8 + 1, 1))::UBIGINT << 56) ELSE c END AS x
+              FROM crc WHERE j < 8 * length(s)))"""
+
+
+def crc64_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return df.select("p_partkey", checksum.crc64_hex("p_name").alias("crc"))
+
+
+_add(
+    "crc64_strings", crc64_strings,
+    f"""WITH {_crc_sql("SELECT p_partkey AS k, p_name AS s FROM part")}
+        SELECT k AS p_partkey, format('{{:016x}}', c) AS crc FROM crc WHERE j = 8 * length(s)""",
+)
+
+
+def crc64_block_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of 1000 bytes in blocks of 105: in order, alternating with the last odd blocks held at the start, and without them."""
+    folder = _folder(spark)
+    with open(f"{folder}/letters", "wb") as f:
+        f.write(bytes(97 + (i * i * 7 + i) % 26 for i in range(1000)))
+    kinds = {"in order": (False, True), "alternating, held": (True, True), "alternating, left out": (True, False)}
+    out = [checksum.file_checksums(spark, f"{folder}/letters", 105, *how).select(F.lit(k).alias("blocks"), "crc64") for k, how in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_add(
+    "crc64_block_orders", crc64_block_orders,
+    "WITH " + _crc_sql("""
+        SELECT kind AS k, string_agg(substr(s, greatest(place, 0) + 1, 105), '' ORDER BY i) AS s
+        FROM (SELECT kind, i, CASE WHEN kind = 'in order' OR i % 2 = 0 THEN i * 105 ELSE 1000 - (i + 1) * 105 END AS place
+              FROM (SELECT unnest(['in order', 'alternating, held', 'alternating, left out']) AS kind), (SELECT unnest(range(0, 10)) AS i)),
+             (SELECT string_agg(chr((97 + (i * i * 7 + i) % 26)::INT), '' ORDER BY i) AS s FROM (SELECT unnest(range(0, 1000)) AS i))
+        WHERE place >= 0 OR kind <> 'alternating, left out' GROUP BY kind""")
+    + " SELECT k AS blocks, format('{:016x}', c) AS crc64 FROM crc WHERE j = 8 * length(s)",
+)
+
+
 def crc64_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select("doc_id", checksum.crc64_hex("text").alias("crc"))
