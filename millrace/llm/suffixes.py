@@ -13,6 +13,8 @@ PLACE_BITS = 20
 LONGEST = (1 << PLACE_BITS) - 2
 _FIRST = 5
 _WORD = 8
+_STRIDE = 64
+_STEPS = np.arange(0, _STRIDE, _WORD)
 
 
 def _bytes_from(text: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +84,7 @@ def common_prefixes(text: np.ndarray, first: np.ndarray, ends: np.ndarray, order
     ``first``, are walked side by side.
     """
     n = len(text)
-    word = _bytes_from(text, ends - np.arange(n), _WORD)
+    word = np.r_[_bytes_from(text, ends - np.arange(n), _WORD), np.zeros(_STRIDE, np.uint64)]
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     before = np.empty(n, np.int64)
@@ -104,12 +106,16 @@ def common_prefixes(text: np.ndarray, first: np.ndarray, ends: np.ndarray, order
         limit = np.minimum(np.minimum(lane_end[:live] - here, ends[other] - other), most)
         limit[other < 0] = 0
         going = np.flatnonzero(k < limit)
+        ahead = 1  # words that are compared at once; few lanes get beyond the first
         while len(going):
             a, b = here[going] + k[going], other[going] + k[going]
-            differ = word[a] ^ word[b]
-            same = np.where(differ == 0, _WORD, _leading(differ) >> 3)
+            differ = word[a[:, None] + _STEPS[:ahead]] ^ word[b[:, None] + _STEPS[:ahead]]
+            at = (differ != 0).argmax(axis=1)
+            first_differ = differ[np.arange(len(going)), at]
+            same = np.where(first_differ == 0, ahead * _WORD, at * _WORD + (_leading(first_differ) >> 3))
             k[going] = np.minimum(k[going] + same, limit[going])
-            going = going[(same == _WORD) & (k[going] < limit[going])]
+            going = going[(first_differ == 0) & (k[going] < limit[going])]
+            ahead = len(_STEPS)
         shared[:live] = k
         out[rank[here]] = k
     return out
