@@ -23,6 +23,7 @@ from .runtime import as_bytes, batch
 SIDE = 24
 FRAME = SIDE * SIDE
 DELAY = 10  # hundredths of a second
+LEVELS = 8  # of each of red, green and blue in the histograms
 GREY = bytes(v for i in range(256) for v in (i, i, i))
 _WIDTH = np.array([min(12, max(9, (258 + max(0, k - 1)).bit_length())) for k in range(4096)], np.int64)
 
@@ -333,59 +334,105 @@ def _fill(waiting: list[tuple[Frame, bytes, int, bool]]) -> None:
     waiting.clear()
 
 
-def histogram(media: Media, bins: int = 8) -> np.ndarray:
-    """Pixels of all frames by brightness as drawn, in ``bins`` equal ranges."""
-    out = np.zeros(bins, np.int64)
-    by_palette: dict[bytes, np.ndarray] = {}
-    for lo in range(0, len(media.frames), 1024):
-        groups: dict[tuple[bytes, int], list[bytes]] = {}
-        for f in media.frames[lo : lo + 1024]:
-            groups.setdefault((f.palette, f.transparent), []).append(f.indices)
-        for (palette, transparent), parts in groups.items():
-            if palette not in by_palette:
-                rgb = np.zeros((256, 3))
-                rgb[: len(palette) // 3] = np.frombuffer(palette, np.uint8).reshape(-1, 3)
-                # The luma weights of ITU-R BT.601.
-                by_palette[palette] = np.rint(rgb @ (0.299, 0.587, 0.114)).astype(np.int64) * bins // 256
-            n = np.bincount(np.frombuffer(b"".join(parts), np.uint8), minlength=256)
-            if transparent >= 0:
-                n[transparent] = 0
-            out += np.bincount(by_palette[palette], weights=n, minlength=bins).astype(np.int64)
-    return out
-
+def _cell(rgb: np.ndarray) -> np.ndarray:
+    """The colour cell, of LEVELS ranges of each of red, green and blue."""
+    level = rgb.astype(np.int64) * LEVELS // 256
+    return (level[..., 0] * LEVELS + level[..., 1]) * LEVELS + level[..., 2]
 
-def feature(media: Media) -> str:
-    """Frames, running time in hundredths of a second, and the brightness histogram."""
-    h = ",".join(map(str, histogram(media)))
-    return f"frames={len(media.frames)};time={sum(f.delay for f in media.frames)};hist={h}"
 
+def histograms(media: Media) -> tuple[np.ndarray, np.ndarray]:
+    """Colour cells that occur, ascending, and for each frame, as it is shown, its pixels in each of them.
 
-_COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    Pixels on which nothing has been drawn don't count. Frames that cover the
+    whole canvas with one palette show nothing but themselves.
+    """
+    frames = media.frames
+    if not frames:
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
+    place = {(f.left, f.top, f.width, f.height, f.transparent, f.palette) for f in frames}
+    if len(place) == 1 and place.pop()[:5] == (0, 0, media.width, media.height, -1):
+        rgb = np.zeros((256, 3), np.uint8)
+        rgb[: len(frames[0].palette) // 3] = np.frombuffer(frames[0].palette, np.uint8).reshape(-1, 3)
+        cells, of = np.unique(_cell(rgb), return_inverse=True)
+        n, size = len(frames), media.width * media.height
+        counts = np.zeros((n, len(cells)), np.int64)
+        for lo in range(0, n, 1024):
+            part = np.frombuffer(b"".join(f.indices for f in frames[lo : lo + 1024]), np.uint8).reshape(-1, size)
+            at = of[part] + np.arange(len(part))[:, None] * len(cells)
+            counts[lo : lo + len(part)] = np.bincount(at.ravel(), minlength=len(part) * len(cells)).reshape(len(part), -1)
+    else:
+        whole = np.zeros((len(frames), LEVELS**3), np.int64)
+        for i, (_, canvas) in enumerate(media.shown()):
+            whole[i] = np.bincount(_cell(canvas[canvas[..., 3] > 0]), minlength=LEVELS**3)
+        cells = np.arange(LEVELS**3)
+        counts = whole
+    some = counts.any(axis=0)
+    return cells[some], counts[:, some]
+
+
+def feature(cells: np.ndarray, counts: np.ndarray, delays: list[int]) -> str:
+    """Frames, running time in hundredths of a second, and the colour histogram of all frames as cell:pixels."""
+    h = ",".join(f"{c}:{n}" for c, n in zip(cells.tolist(), counts.sum(axis=0).tolist()))
+    return f"frames={len(delays)};time={sum(delays)};hist={h}"
+
+
+_FRAME_DDL = "start_cs: bigint, delay_cs: int, cells: array<int>, pixels: array<bigint>"
+_COLUMNS = (
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    f"feature string, frames array<struct<{_FRAME_DDL}>>"
+)
+_STORED = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
+     ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+)
+
+
+def _offsets(sizes: list[int] | np.ndarray) -> pa.Array:
+    return pa.array(np.cumsum(np.r_[0, sizes]), pa.int32())
+
+
+def _timed(parts: list[tuple[np.ndarray, np.ndarray, list[int]]]) -> pa.Array:
+    """The frames column of some rows, from their cells, counts and delays."""
+    start = [t for _, _, d in parts for t in np.cumsum([0, *d[:-1]])[: len(d)].tolist()]
+    size, cells, pixels = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c, n, _ in parts:
+        frame, at = np.nonzero(n)
+        size.append(np.bincount(frame, minlength=len(n)))
+        cells.append(c[at])
+        pixels.append(n[frame, at])
+    offsets = _offsets(np.concatenate(size) if size else [])
+    columns = [
+        pa.array(start, pa.int64()), pa.array([t for *_, d in parts for t in d], pa.int32()),
+        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(cells), pa.int32())),
+        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pixels), pa.int64())),
+    ]
+    frames = pa.StructArray.from_arrays(columns, ["start_cs", "delay_cs", "cells", "pixels"])
+    return pa.ListArray.from_arrays(_offsets([len(d) for *_, d in parts]), frames)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["doc_id", *(c.split()[0] for c in _COLUMNS.split(", "))]
-    schema = pa.schema(list(zip(names, types)))
     for b in batches:
         ids = b.column("doc_id").to_pylist()
         for lo in range(0, len(ids), 200):
-            rows = []
+            rows, parts = [], []
             for i, text in zip(ids[lo : lo + 200], as_bytes(b.column("text").slice(lo, 200))):
                 whole = max(FRAME, -(-len(text) // FRAME) * FRAME)
                 stored = encode(text + b"\xff" * (whole - len(text)))
                 media = decode(stored)
                 back = media.samples()
+                parts.append((*histograms(media), [f.delay for f in media.frames]))
                 rows.append(
                     (i, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]),
-                     len(stored), hashlib.sha256(stored).hexdigest(), feature(media))
+                     len(stored), hashlib.sha256(stored).hexdigest(), feature(*parts[-1]))
                 )
-            yield batch(schema, *zip(*rows))
+            done, frames = batch(_STORED, *zip(*rows)), _timed(parts)
+            yield pa.RecordBatch.from_arrays([*done.columns, frames], [*_STORED.names, "frames"])
 
 
 def store_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Stores each text of documents (doc_id, text) as a GIF, reads it back, and returns
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """Stores each text of documents (doc_id, text) as a GIF, reads it back, and returns doc_id, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature and frames: when each is shown, for how
+    long (hundredths of a second), and its pixels in each colour cell that occurs.
 
     Null and empty texts are one frame of padding. A long text has more frames,
     each coded by itself. Rows may repeat; equal texts give equal values.
@@ -393,28 +440,31 @@ def store_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_store, f"doc_id long, {_COLUMNS}")
 
 
-def _frames(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema(
-        [("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()),
-         ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())]
-    )
+_SHOWN = pa.schema(
+    [("media_id", pa.int64()), ("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()),
+     ("height", pa.int32()), ("rgba", pa.binary()), ("cells", pa.list_(pa.int32())), ("pixels", pa.list_(pa.int64())), ("error", pa.string())]
+)
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i, data in zip(b.column("media_id").to_pylist(), b.column("data").to_pylist()):
             try:
                 media = decode(data or b"")
             except ValueError as e:
-                yield batch(schema, [i], *([None],) * 7, [str(e)])
+                yield batch(_SHOWN, [i], *([None],) * 8, [str(e)])
                 continue
             for n, (start, canvas) in enumerate(media.shown()):
-                light = np.rint(canvas[..., :3] @ (0.299, 0.587, 0.114)).astype(np.int64)[canvas[..., 3] > 0] * bins // 256
-                hist = np.bincount(light, minlength=bins).tolist()
-                yield batch(schema, [i], [n], [start], [media.frames[n].delay], [media.width], [media.height], [canvas.tobytes()], [hist], [None])
+                cells, pixels = np.unique(_cell(canvas[canvas[..., 3] > 0]), return_counts=True)
+                delay = media.frames[n].delay
+                yield batch(_SHOWN, [i], [n], [start], [delay], [media.width], [media.height], [canvas.tobytes()], [cells], [pixels], [None])
 
 
-def frames(media: DataFrame, bins: int = 8) -> DataFrame:
-    """Timed frames of GIFs (media_id, data) as they are shown, one row for each, with
-    their brightness histogram. What can't be read gives one row with the error."""
+def frames(media: DataFrame) -> DataFrame:
+    """Timed frames of GIFs (media_id, data) as they are shown, one row for each, with their
+    colour histogram: cells and the pixels in them. What can't be read gives one row with the error."""
     return media.select("media_id", "data").mapInArrow(
-        lambda x: _frames(x, bins),
-        "media_id long, frame int, start_cs long, delay_cs int, width int, height int, rgba binary, histogram array<long>, error string",
+        _frames,
+        "media_id long, frame int, start_cs long, delay_cs int, width int, height int, rgba binary, "
+        "cells array<int>, pixels array<long>, error string",
     )

@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,8 +16,8 @@ def test_roundtrip_of_samples():
         data = bytes(rng.choices(rng.choice([b"ab", bytes(range(256)), b"x"]), k=576 * frames))
         media = gif.decode(gif.encode(data))
         assert media.samples() == data and len(media.frames) == frames
-        index = np.frombuffer(data, np.uint8)
-        assert gif.histogram(media).tolist() == np.bincount(index // 32, minlength=8).tolist()
+        index = np.frombuffer(data, np.uint8).astype(int).reshape(frames, 576)
+        assert cells_of(media) == [dict(Counter((row // 32 * 73).tolist())) for row in index]
 
 
 def slow_decode(data, root):
@@ -158,7 +159,12 @@ def test_query(spark, edge, none):
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(data), len(whole), len(stored))
         assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
         assert r.media_sha256 == hashlib.sha256(stored).hexdigest()
-        assert r.feature.startswith(f"frames={len(whole) // 576};time={len(whole) // 576 * 10};hist=")
+        n = len(whole) // 576
+        grey = lambda x: sorted(Counter(v // 32 * 73 for v in x).items())
+        assert r.feature == f"frames={n};time={n * 10};hist=" + ",".join(f"{c}:{k}" for c, k in grey(whole))
+        assert [(f.start_cs, f.delay_cs) for f in r.frames] == [(10 * k, 10) for k in range(n)]
+        for k in {0, n // 2, n - 1}:
+            assert list(zip(r.frames[k].cells, r.frames[k].pixels)) == grey(whole[576 * k : 576 * (k + 1)])
     assert gif.store_texts(spark, none).collect() == []
 
 
@@ -167,4 +173,28 @@ def test_frames(spark):
     got = gif.frames(spark.createDataFrame(rows, "media_id long, data binary")).collect()
     assert [(r.media_id, r.frame, r.start_cs, r.delay_cs) for r in got if r.error is None] == [(1, 0, 0, 10), (1, 1, 10, 10), (4, 0, 0, 5)]
     assert sorted(r.media_id for r in got if r.error) == [2, 3]
-    assert [sum(r.histogram) for r in got if r.media_id == 1] == [576, 576]
+    assert [(r.cells, r.pixels) for r in got if r.error is None] == [([ord("a") // 32 * 73], [576])] * 2 + [([7 * 64], [8])]
+
+
+def cells_of(media):
+    cells, counts = gif.histograms(media)
+    return [{int(c): int(k) for c, k in zip(cells, row) if k} for row in counts]
+
+
+def test_histograms_are_of_frames_as_shown():
+    """Red and green are as bright to the eye but not of one cell; disposal and transparency count."""
+    red, green, blue = 7 * 64, 7 * 8, 7
+    data = file(
+        control(1, 5), image(0, 0, 4, 2, [1] * 8),
+        control(3, 7, transparent=0), image(1, 0, 2, 2, [2, 0, 0, 2]),
+        control(2, 1), image(0, 0, 1, 1, [3]),
+        control(0, 2), image(3, 1, 1, 1, [2]),
+    )
+    assert cells_of(gif.decode(data)) == [{red: 8}, {red: 6, green: 2}, {red: 7, blue: 1}, {red: 6, green: 1}]
+    whole = [bytes(random.Random(k).choices(b"\0\1\2\3", k=8)) for k in range(5)]
+    media = gif.decode(file(*(image(0, 0, 4, 2, list(w)) for w in whole)))
+    colours = [0, red, green, blue]
+    assert cells_of(media) == [dict(Counter(colours[v] for v in w)) for w in whole]
+    media.frames[2].transparent = 9  # off the quick way, with the same pixels
+    assert cells_of(media) == [dict(Counter(colours[v] for v in w)) for w in whole]
+    assert cells_of(gif.decode(file())) == []
