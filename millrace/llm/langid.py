@@ -3,8 +3,10 @@
 A text is first given a language family, then one-versus-one linear support
 vector machines tell that family's languages apart. Features are counts of
 hashed byte trigrams over the whole lower-cased text, under a square root and
-scaled to length one. Training is on a bounded sample of the labelled rows:
-``PER_LANGUAGE`` documents of each language, those of the least row hashes.
+scaled to length one. Training is on a bounded sample of the labelled rows, as
+many of each language, those of the least row hashes: ``PER_LANGUAGE``, or fewer if
+there are so many languages that it would be more than ``SAMPLE`` in all. Every
+language is learned.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .runtime import as_bytes, batch
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
-LANGUAGES = 64
+SAMPLE = 25_600
 NO_LANGUAGE = "und"
 
 # Language families by ISO 639-1 code. A code that is not listed is a family of its own.
@@ -147,37 +149,41 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, part.column("lang"), part.column("h"), x)
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
-    """Learns from rows (text, lang); None if no row has both a letter and a label.
-
-    Languages beyond the ``LANGUAGES`` most frequent ones aren't learned. The
-    sample depends on the rows only, not on their order or partitions.
-    """
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", "text", F.xxhash64("lang", "text").alias("h"))
+def _sample(rows: DataFrame, per_language: int, most: int) -> DataFrame | None:
+    """The rows (lang, text, h) of the least hashes h of each language, equal ones once."""
     # Copies have one hash and pass or fail together, so it is distinct hashes that are shared out.
-    sizes = rows.groupBy("lang", "h").count().groupBy("lang").agg(F.sum("count").alias("n"), F.count("*").alias("distinct"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    sizes = rows.groupBy("lang", "h").count().groupBy("lang").agg(F.count("*").alias("n")).toPandas().set_index("lang").n
+    if not len(sizes):
         return None
+    wanted = sizes.clip(upper=max(1, min(per_language, most // len(sizes))))
     # A hash threshold that lets about twice the wanted hashes of each language through, then the least of those.
-    share = {r["lang"]: 2.0 * per_language / r["distinct"] for r in sizes}
+    share = 2.0 * wanted / sizes
+
+    def below(top: dict[str, int]) -> DataFrame:
+        tops = rows.sparkSession.createDataFrame(list(top.items()), "lang_ string, top long")  # a row for each language
+        return rows.join(F.broadcast(tops), F.col("lang") == F.col("lang_")).where("h <= top").select("lang", "text", "h")
+
     while True:
-        wanted = F.lit(None).cast("long")
-        for lang, x in share.items():
-            wanted = F.when(F.col("lang") == lang, F.lit(min(2**63 - 1, int((min(1.0, x) * 2 - 1) * 2**63)))).otherwise(wanted)
-        near = rows.where(F.col("h") <= wanted)
-        ids = near.select("lang", "h").distinct().toPandas().sort_values(["lang", "h"]).groupby("lang").head(per_language)
-        found = ids["lang"].value_counts()
-        short = [r["lang"] for r in sizes if found.get(r["lang"], 0) < min(per_language, r["distinct"])]
-        if not short:
+        near = below({lang: min(2**63 - 1, int((min(1.0, x) * 2 - 1) * 2**63)) for lang, x in share.items()})
+        ids = near.select("lang", "h").distinct().toPandas().sort_values(["lang", "h"])
+        found = ids.groupby("lang").size().reindex(sizes.index, fill_value=0)
+        if (found >= wanted).all():
             break
-        for lang in short:
-            share[lang] *= 2
-    last = F.lit(None).cast("long")
-    for lang, top in ids.groupby("lang")["h"].max().items():
-        last = F.when(F.col("lang") == lang, F.lit(int(top))).otherwise(last)
-    picked = near.where(F.col("h") <= last).dropDuplicates(["lang", "h"])
+        share = share.where(found >= wanted, 2 * share)
+    ids = ids[ids.groupby("lang").cumcount() < ids.lang.map(wanted)]
+    return below({lang: int(top) for lang, top in ids.groupby("lang").h.max().items()}).dropDuplicates(["lang", "h"])
+
+
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = SAMPLE) -> Hierarchy | None:
+    """Learns from rows (text, lang); None if no row has both a letter and a label.
+
+    The sample depends on the rows only, not on their order or partitions. The
+    machines number as the square of the families, and of each family's languages.
+    """
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    picked = _sample(rows.select("lang", "text", F.xxhash64("lang", "text").alias("h")), per_language, most)
+    if picked is None:
+        return None
     found = picked.mapInArrow(_vectors, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"])
     x = np.frombuffer(b"".join(found.x), np.float32).reshape(len(found), DIMENSIONS)
     return Hierarchy(x, list(found.lang))
@@ -209,7 +215,7 @@ def predict(spark: SparkSession, model: Hierarchy | None, df: DataFrame, text: s
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*df.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    shared = spark.sparkContext.broadcast(model)  # at most LANGUAGES squared vectors
+    shared = spark.sparkContext.broadcast(model)  # a vector for each machine
     return df.mapInArrow(lambda x: _predict(x, shared, text), schema)
 
 

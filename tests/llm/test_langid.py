@@ -1,4 +1,11 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import langid
 
@@ -67,3 +74,57 @@ def test_copies_take_no_places_of_the_sample(spark, monkeypatch):
     rows = [("one page of many copies", "aa")] * 2000 + [(f"other page {i}", "aa") for i in range(60)] + [(f"seite {i}", "de") for i in range(30)]
     langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3), 50)
     assert seen == [(80, ["aa"] * 50 + ["de"] * 30)]
+
+
+def test_predictions_by_hand(spark, table):
+    """Sample, features, families and votes again, with plain loops around the trained weights."""
+    docs = table("documents")
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("lang", "text").alias("h")).collect()
+
+    def vector(text):
+        lower = b" " + (text or "").encode().lower() + b" "
+        n = Counter((int.from_bytes(lower[i : i + 3], "big") * 2654435761) % 2**32 >> 20 for i in range(len(lower) - 2))
+        length = math.sqrt(sum(n.values()))
+        return np.array([math.sqrt(n[d]) / length if length else 0 for d in range(langid.DIMENSIONS)], np.float32)
+
+    letters = lambda t: any(map(str.isalpha, t or ""))
+    train = {(r.lang, r.h): r.text for r in rows if r.lang and letters(r.text) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    picked = []
+    for lang in sorted({g for g, _ in train}):
+        picked += sorted(k for k in train if k[0] == lang)[: langid.PER_LANGUAGE]
+    model = langid.Hierarchy(np.array([vector(train[k]) for k in picked]), [g for g, _ in picked])
+
+    def votes(machine, x):
+        names, total = machine.names, Counter()
+        if len(names) == 1:
+            return {names[0]: 1.0}
+        for (i, j), w in zip(machine.pairs, machine.w):
+            p = 1 / (1 + math.exp(-3 * max(-15, min(15, float(x @ w[:-1] + w[-1])))))
+            total[names[i]] += p
+            total[names[j]] += 1 - p
+        power = {n: (total[n] / (len(names) - 1)) ** 4 for n in names}
+        return {n: v / sum(power.values()) for n, v in power.items()}
+
+    got = {r.doc_id: r for r in langid.identify(spark, docs).collect()}
+    for r in rows:
+        if not letters(r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        x = vector(r.text)
+        kin = votes(model.families, x)
+        best = max(kin, key=kin.get)
+        within = votes(model.within[best], x)
+        top = max(within, key=within.get)
+        assert got[r.doc_id].lang_pred == top and got[r.doc_id].score == pytest.approx(kin[best] * within[top], abs=2e-3)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert re.match("[a-z]{2}$", top)
+
+
+def test_every_language_is_learned(spark):
+    words = {f"q{i:02}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{c}{chr(97 + i % 26)}" for c in "aeiouy"] for i in range(66)}
+    rows = [(" ".join(w[k:] + w[:k]), lang) for lang, w in words.items() for k in range(3)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.families.names == sorted(f"own:{g}" for g in words)
+    names, _ = model.predict(np.array([langid.features(t.encode()) for t, _ in rows]))
+    assert np.mean([a == b for a, (_, b) in zip(names, rows)]) > 0.95
+    assert langid._sample(spark.createDataFrame(rows, "text string, lang string").withColumn("h", F.xxhash64("text")), 400, 132).count() == 132
