@@ -61,13 +61,13 @@ def ranked(scratch: Scratch, names: DataFrame, column: str) -> DataFrame:
     # The id is the partition's number, then the place within it.
     rows = scratch.save(rows.withColumn("id", F.monotonically_increasing_id()), "ranked")
     part, own = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
-    sizes = {r["part"]: r["n"] for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = F.lit(0).cast("long"), 0
-    for p in sorted(sizes):  # one for each partition
-        if total:
-            before = F.when(part >= p, F.lit(total).cast("long")).otherwise(before)
-        total += sizes[p]
-    return rows.withColumn("place", before + own).drop("id")
+    sizes = sorted(tuple(r) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in sizes:  # one for each partition
+        starts.append((p, total))
+        total += n
+    before = scratch.spark.createDataFrame(starts, "part long, start long")
+    return rows.withColumn("part", part).join(before, "part").withColumn("place", F.col("start") + own).drop("id", "part", "start")
 
 
 def targets(scratch: Scratch, sources: DataFrame, cycle: int = CYCLE, repeats: int = REPEATS) -> DataFrame:

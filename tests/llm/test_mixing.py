@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,24 @@ def test_mixed_repeats_rows(spark, edge):
     taken = {r.doc_id: r.taken for r in mixing.mix(spark, edge).collect() if r.doc_id in (5, 6, 8, 9)}
     words = out.where("doc_id IN (5, 6, 8, 9)").withColumn("n", F.size(F.split(F.trim("text"), r"[\x20\x09-\x0D]+")))
     assert {r.doc_id: r.n for r in words.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == {k: v for k, v in taken.items() if v}
+
+
+@pytest.mark.parametrize("bins", [512, 1, 100_000])
+def test_draw_by_hand(spark, table, monkeypatch, bins):
+    """Every document's copies again: each source's keys sorted as a whole, and the sizes summed up."""
+    monkeypatch.setattr(mixing, "BINS", bins)
+    docs = table("documents").select("doc_id", "text", "source", F.xxhash64(F.xxhash64("doc_id", "text"), F.lit(mixing.SEED)).alias("h"))
+    rows = docs.collect()
+    size = {r.doc_id: len((r.text or "").encode().split()) for r in rows}
+    total = {}
+    for r in rows:
+        total[r.source] = total.get(r.source, 0) + size[r.doc_id]
+    goal, want = expected_targets(total), {}
+    for source in total:
+        epochs = int(goal[source] // total[source]) if total[source] else 0
+        budget, run = goal[source] - epochs * total[source], 0
+        key = lambda r: -math.log((((r.h % 2**64) >> 11) + 0.5) / 2**53) / mixing.quality((r.text or "").encode())
+        for r in sorted((r for r in rows if r.source == source), key=key):
+            run += size[r.doc_id]
+            want[r.doc_id] = size[r.doc_id] * min(3, epochs + (run - size[r.doc_id] / 2 <= budget))
+    assert {r.doc_id: r.taken for r in mixing.mix(spark, docs).collect()} == want
