@@ -147,8 +147,9 @@ _ONE_NAME = re.compile(rf"(?i)\b{_NAME}\b[ ,-]{{0,2}}(?=(?:{_NAME}|[0-9])\b)|\b{
 _AT = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,2}(?:at|@)\s{0,2}[)\]}>]\s{0,3}")
 _DOT = re.compile(r"(?i)\s{0,3}[(\[{<]\s{0,2}(?:dot|\.)\s{0,2}[)\]}>]\s{0,3}")
 _WORDS = re.compile(
-    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: (?:at|@) |@)[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,5}(?![A-Za-z0-9-])"
+    r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: (?:at|@) |@)[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++"
 )
+_HOST_WORDS = re.compile(r"(?i)@[A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++")
 _DOT_WORD = re.compile(r"(?i) dot ")
 _AT_WORD = re.compile(r"(?i) (?:at|@) ")
 _DOTTED = re.compile(r"(?i)\bdot\b|[(\[{<]\s{0,2}(?:at|@|dot|\.)\s{0,2}[)\]}>]")
@@ -185,7 +186,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
         for a, b in whole:
             inside[a:b] = True
         t.rewrite(_AT_WORD, lambda m: "@" if inside[m.start()] and inside[m.end() - 1] else None)
-        whole = [m.span() for m in re.finditer(r"@[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,5}", t.text, re.I)]
+        whole = [m.span() for m in _HOST_WORDS.finditer(t.text)]
         inside = np.zeros(len(t.text) + 1, bool)
         for a, b in whole:
             inside[a:b] = True

@@ -89,3 +89,11 @@ def test_report_and_edges(spark, edge, none):
 def test_masked(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd and c at d dot ef", 5), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.masked(spark, df).orderBy("doc_id").collect()] == [(1, "mail <EMAIL> and <EMAIL>", 24), (2, None, None)]
+
+
+def test_disguised_addresses_of_any_length():
+    for address in ("j" * 300 + " at host dot com", "a at " + "h" * 100 + " dot " + "p" * 100, "a at b" + "".join(f" dot p{i}" for i in range(40))):
+        text = f"write to {address}, now"
+        assert pii.find(text)[1] == [("email", 9, 9 + len(address))]
+    for text in ("a at b dot c " * 3000, "a at b dot " * 3000, "x dot " * 20_000, "b" * 100_000 + " at", "a at " * 20_000):
+        pii.find(text)
