@@ -11,12 +11,18 @@ buckets large. Such fingerprints, and those one bit away in that segment, are
 linked through midpoints instead: two fingerprints are ``bits`` or fewer apart
 exactly if flipping up to half as many bits of each leads to a common value.
 That costs a fixed number of rows for each of them, whatever the group's size.
+
+Fingerprints of texts whose shingle sets have a similarity of 0.8 differ in some
+ten of 64 bits, and no segments wide enough for large tables survive that. So
+``keep_first``, which is to find such texts, has bands of least shingle hashes as
+further candidates: a fixed number of rows for each text, equal keys meet too, and
+each candidate of either kind is verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations, count, repeat
 from math import comb
 
@@ -25,12 +31,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from .components import components
 from .runtime import Scratch, as_bytes, batch, sorted_runs
 
 HOT = 1024
 SEED = 42
+#: Bands of so many least hashes each: 0.99 of the pairs at a similarity of 0.8 have one in common.
+BANDS, BAND_HASHES = 12, 5
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -40,44 +49,82 @@ def segments(bits: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """Signed 64-bit SimHash of the word shingles of a text; 0 if it has no word."""
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each word shingle, a row of 8 bytes for each; none if the text has no word."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     if len(words) < width:
         shingles: Iterable[bytes] = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, shingles, repeat(SEED))), np.uint8).reshape(-1, 8)
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > len(hashes)).view(">i8")[0])
 
 
+def fingerprint(text: bytes, width: int) -> int:
+    """Signed 64-bit SimHash of the word shingles of a text; 0 if it has no word."""
+    return _fingerprint(_shingle_hashes(text, width))
+
+
+@lru_cache(4)
+def _factors(n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh64_digest(b"%d" % i, SEED) for i in range(n)), ">u8").astype(np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray, n: int, least: int) -> list[int]:
+    """``n`` keys, each of the ``least`` least hashes of the shingles in as many orders; none without shingles.
+
+    Two texts have a band in common with probability 1 - (1 - s ** least) ** n, where s is
+    the similarity of their shingle sets.
+    """
+    if not len(hashes):
+        return []
+    factors, out = _factors(n * least), np.full(n * least, (1 << 64) - 1, np.uint64)
+    h = hashes.view(">u8").astype(np.uint64)
+    for lo in range(0, len(h), 1 << 12):
+        np.minimum(out, (h[lo : lo + (1 << 12)] * factors).min(axis=0), out=out)
+    parts = out.reshape(n, least)
+    return [xxhash.xxh3_64_intdigest(parts[i].tobytes(), i) - (1 << 63) for i in range(n)]
+
+
 def words_digest(text: bytes) -> bytes:
     """128 bits that are equal for texts of the same words in the same order, whose shingles are the same."""
     return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
-def with_fingerprint(df: DataFrame, text: str, width: int, name: str = "fp", digest: str | None = None) -> DataFrame:
-    """Adds the fingerprint and, if it has a name, the digest of the words; the other columns pass through."""
-    from pyspark.sql.types import BinaryType, LongType, StructType
+def with_fingerprint(df: DataFrame, text: str, width: int) -> DataFrame:
+    """Adds the fingerprint as fp; the other columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [fingerprint(x, width) for x in as_bytes(b.column(text))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, "fp"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add("fp", LongType(), False))
 
-    schema = StructType([*df.schema.fields]).add(name, LongType(), False)
-    if digest:
-        schema = schema.add(digest, BinaryType(), False)
+
+def with_sketch(df: DataFrame, text: str, width: int, n: int, least: int) -> DataFrame:
+    """Adds the fingerprint, the digest of the words and the bands; the other columns pass through."""
+    more = StructType().add("fp", LongType(), False).add("digest", BinaryType(), False).add("bands", ArrayType(LongType(), False), False)
+    types = [pa.int64(), pa.binary(), pa.list_(pa.field("element", pa.int64(), False))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(text))
-            more = [pa.array([fingerprint(x, width) for x in texts], pa.int64())]
-            if digest:
-                more.append(pa.array(map(words_digest, texts), pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema.names)
+            rows = []
+            for x in as_bytes(b.column(text)):
+                hashes = _shingle_hashes(x, width)
+                rows.append((_fingerprint(hashes), words_digest(x), bands(hashes, n, least)))
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *more.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, StructType([*df.schema.fields, *more.fields]))
 
 
 def _variants(
@@ -416,8 +463,9 @@ def _next_look(batches: Iterator[pa.RecordBatch], near: Near, low: int, high: in
 def verified_components(
     scratch: Scratch, nodes: DataFrame, bits: int, check: Callable[[Scratch, DataFrame], DataFrame], hot: int | None = None
 ) -> DataFrame:
-    """(node, label) for the nodes of ``nodes`` (node, fp) that have links; equal labels mean the
-    same component of the links that ``check`` keeps, of all between fingerprints ``bits`` or fewer apart.
+    """(node, label) for the nodes of ``nodes`` (node, fp, bands) that have links; equal labels mean the
+    same component of the links that ``check`` keeps, of all between nodes whose fingerprints are ``bits``
+    or fewer apart or that have a band in common.
 
     A link is left out only if links that were checked connect its ends. Where a bucket
     has many links, a forest is checked first; what that leaves apart is checked in
@@ -426,14 +474,15 @@ def verified_components(
     prints = scratch.save(nodes.select("fp").distinct(), "prints")
     cold, warm = _states(scratch, prints, bits, hot)
     parts = segments(bits)
-    cold = cold.join(nodes, "fp").select("fp", "cold", "node")
+    cold = cold.join(nodes.select("fp", "node"), "fp").select("fp", "cold", "node")
     at_segments = _segment_near(parts, bits)
     ways: list[tuple[DataFrame, Near]] = [
         (cold.mapInArrow(lambda x: _variants(x, parts, ("node",)), "key long, fp long, node long"),
          lambda x, y, key: at_segments(x, y, key & 63)),
+        (nodes.select(F.explode("bands").alias("key"), "fp", "node"), lambda x, y, key: np.ones(np.broadcast_shapes(x.shape, y.shape), bool)),
     ]
     if warm is not None:
-        warm = warm.join(nodes, "fp").select("fp", "node")
+        warm = warm.join(nodes.select("fp", "node"), "fp").select("fp", "node")
         # All that share a midpoint are near; equal ones share all midpoints, and their own is enough.
         ways.append(
             (warm.mapInArrow(lambda x: _midpoints(x, bits, ("node",)), "key long, fp long, node long"),
@@ -464,28 +513,27 @@ def verified_components(
         low = high
 
 
-def keep_first(
-    spark: SparkSession, docs: DataFrame, width: int = 5, bits: int = 8, least: float = 0.8
-) -> DataFrame:
+def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, bits: int = 4, least: float = 0.8) -> DataFrame:
     """Keeps one row of each near-duplicate group: that of the least doc_id.
 
-    Documents are linked whose fingerprints are ``bits`` or fewer apart and whose
-    sets of word shingles have a similarity of ``least`` or more. All columns of
-    ``docs`` are returned as they are. Of repeated doc_ids in a group one row
-    stays; a null doc_id stays only if its group has no other. Null, empty and
-    blank texts are alike.
+    Documents are linked whose sets of word shingles have a similarity of ``least``
+    or more, of those whose fingerprints are ``bits`` or fewer apart or that have one
+    of ``BANDS`` bands in common. All columns of ``docs`` are returned as they are. Of
+    repeated doc_ids in a group one row stays; a null doc_id stays only if its group
+    has no other. Null, empty and blank texts are alike.
     """
     scratch = Scratch(spark, "keep")
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     text, key = (f"c{names.index(c)}" for c in ("text", "doc_id"))
-    rows = with_fingerprint(inner, text, width, digest="digest").withColumn("row", F.monotonically_increasing_id())
+    rows = with_sketch(inner, text, width, BANDS, BAND_HASHES).withColumn("row", F.monotonically_increasing_id())
     rows = scratch.save(rows, "rows")
     # Only texts of equal words are one node unverified; equal fingerprints may have other texts.
     first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("doc_id"), "row")).alias("first")
-    nodes = scratch.save(rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("row").alias("node"), first), "nodes")
+    same = [F.min("fp").alias("fp"), F.min("bands").alias("bands")]  # equal in all rows of a digest
+    nodes = scratch.save(rows.groupBy("digest").agg(*same, F.min("row").alias("node"), first), "nodes")
     labels = verified_components(
-        scratch, nodes.select("node", "fp"), bits, lambda s, found: similar_links(s, rows, text, found, width, least)
+        scratch, nodes.select("node", "fp", "bands"), bits, lambda s, found: similar_links(s, rows, text, found, width, least)
     )
     labels = labels.withColumnRenamed("node", "n")
     # One row for each group: a group's component_id may be shared by others if ids repeat.
