@@ -15,8 +15,8 @@ from millrace.llm import bpe, langid, mixing, pii, simhash
 from millrace.llm.runtime import Scratch, scratches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Near copies: words of a shingle, differing bits that make a candidate, and the least similarity of the shingle sets.
-SHINGLE, BITS, SIMILARITY = 5, 8, 0.8
+#: Near copies: words of a shingle, differing bits that make a candidate (as a common band does), and the least similarity of the shingle sets.
+SHINGLE, BITS, SIMILARITY = 5, 4, 0.8
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
