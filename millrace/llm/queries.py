@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,7 @@ from .gif import store_texts
 from .langid import identify
 from .mixing import mix
 from .pii import report
+from .runtime import scratches
 from .simhash import simhash_components
 from .substring import remove_repeats
 from .warc import roundtrip
@@ -92,16 +96,22 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, _table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
-    "op2_classlm": op2_classlm,
-    "op3_substring": op3_substring,
-    "op4_langid": op4_langid,
-    "op5_warc": op5_warc,
-    "op6_bitsliced": op6_bitsliced,
-    "op7_gif": op7_gif,
-    "op8_pii": op8_pii,
-    "op9_bpe": op9_bpe,
-    "op10_mix": op10_mix,
-}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _cleared(query: Query) -> Query:
+    """A query that leaves no tables behind if it fails."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratches(keep_results=True):
+            return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = (
+    op1_simhash, op2_classlm, op3_substring, op4_langid, op5_warc, op6_bitsliced, op7_gif, op8_pii, op9_bpe, op10_mix,
+)
+QUERIES: dict[str, Query] = {q.__name__: _cleared(q) for q in _ALL}
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_bitsliced": OP6_SQL}

@@ -36,18 +36,21 @@ _MADE: ContextVar[list[Scratch] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
-def scratches() -> Iterator[None]:
+def scratches(keep_results: bool = False) -> Iterator[None]:
     """Removes at the end what operators leave in the block. Some return a
     DataFrame that still reads their tables; whoever has written it elsewhere
-    doesn't need these any more."""
+    doesn't need these any more. With ``keep_results`` they go only if the block fails."""
     made: list[Scratch] = []
     token = _MADE.set(made)
+    done = False
     try:
         yield
+        done = True
     finally:
         _MADE.reset(token)
-        for s in made:
-            s.drop()
+        if not (done and keep_results):
+            for s in made:
+                s.drop()
 
 
 class Scratch:

@@ -69,3 +69,24 @@ def test_sql_matches(spark, tmp_path):
         want = con.sql(f"SELECT {', '.join(columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
         assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, want))
     assert public_tokenizers.path(corpus_pipeline.VOCABULARY)
+
+
+def test_a_failed_query_leaves_no_tables(spark, tmp_path):
+    from millrace.llm import queries
+    from millrace.llm.runtime import Scratch, scratches, shared_dir
+
+    left = lambda: {p.name for p in __import__("pathlib").Path(shared_dir(spark).removeprefix("file://")).iterdir()}
+    spark.createDataFrame([(1, "a b c")], "doc_id long, words string").write.parquet(str(tmp_path / "documents.parquet"))
+    before = left()
+    for name in ("op1_simhash", "op3_substring", "op10_mix"):
+        with pytest.raises(Exception, match="text"):
+            queries.QUERIES[name](spark, str(tmp_path))
+    with pytest.raises(ZeroDivisionError), scratches(keep_results=True):
+        Scratch(spark, "broken").save(spark.range(3), "t")
+        1 / 0  # noqa: B018
+    assert left() == before
+    with scratches(keep_results=True):
+        kept = Scratch(spark, "kept")
+        assert kept.save(spark.range(3), "t").count() == 3
+    assert len(left() - before) == 1
+    kept.drop()
