@@ -59,14 +59,15 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents; each stage's rows are written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch, before = Scratch(spark, "pipeline"), None
-    for name, stage in STAGES:
-        with scratches():
-            docs = scratch.save(stage(spark, docs, sf_dir), name)
-        if before:
-            scratch.drop(before)
-        before = name
-    return scratch.finish(docs)
+    with scratches(keep_results=True):
+        scratch, before = Scratch(spark, "pipeline"), None
+        for name, stage in STAGES:
+            with scratches():
+                docs = scratch.save(stage(spark, docs, sf_dir), name)
+            if before:
+                scratch.drop(before)
+            before = name
+        return scratch.finish(docs)
 
 
 #: SQL can't express the fingerprints, the trained models, the draw or the tokens.
