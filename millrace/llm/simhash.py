@@ -39,7 +39,7 @@ from .runtime import Scratch, as_bytes, batch, sorted_runs
 HOT = 1024
 SEED = 42
 #: Bands of so many least hashes each: 0.99 of the pairs at a similarity of 0.8 have one in common.
-BANDS, BAND_HASHES = 12, 5
+BANDS, BAND_HASHES = 24, 8
 
 
 def segments(bits: int) -> list[tuple[int, int]]:
@@ -469,7 +469,7 @@ def verified_components(
 
     A link is left out only if links that were checked connect its ends. Where a bucket
     has many links, a forest is checked first; what that leaves apart is checked in
-    rounds, each over four times as many places as the one before.
+    rounds, each over eight times as many places as the one before.
     """
     prints = scratch.save(nodes.select("fp").distinct(), "prints")
     cold, warm = _states(scratch, prints, bits, hot)
@@ -503,7 +503,7 @@ def verified_components(
         if all(x.isEmpty() for x in left):
             return labels
         named = labels.withColumnRenamed("node", "n")
-        looked, high = [], low * 4
+        looked, high = [], low * 8
         for w, ((_, near), members) in enumerate(zip(ways, left)):
             rows = members.join(named, members.a == named.n, "left")
             rows = rows.select("key", "root", "fp", "a", F.coalesce("label", "a").alias("label"))
