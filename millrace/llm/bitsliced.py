@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .runtime import Scratch, batch
 
 BLOCK_ROWS = 32_768
-QUERY_ROWS = 128
+#: Queries that meet a block of rows at once, and the least for which it is worth sending.
+QUERY_ROWS, LEAST_QUERIES = 4096, 128
 LARGEST = 1 << 50
 _LONG = (1 << 63) - 1
 
@@ -190,14 +191,18 @@ def top_k(spark: SparkSession, vectors: DataFrame, k: int = 20, every: int = 20,
     scores beyond the range of long are held at those bounds.
 
     Blocks of queries meet blocks of rows, so that no task holds more than one
-    of each; each pair gives k rows for a query at most.
+    of each; each pair gives k rows for a query at most. The index is sent once
+    for each ``QUERY_ROWS`` queries; more often only while that gives fewer pairs
+    of blocks than twice as many as can run at once.
     """
     scratch = Scratch(spark, "bitsliced")
     rows = vectors.select("vec_id", "embedding").mapInArrow(lambda x: _quantised(x, scale), "vec_id long, x binary")
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     asked = F.pmod("vec_id", F.lit(every)) == 0
     n, m = rows.agg(F.count("*"), F.count(F.when(asked, 1))).first()
-    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-m // QUERY_ROWS))
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    busy = -(-2 * spark.sparkContext.defaultParallelism // blocks)
+    parts = max(1, -(-m // QUERY_ROWS), min(busy, -(-m // LEAST_QUERIES)))
     index = rows.repartition(blocks).mapInArrow(lambda x: _packed(x, True), "part long, blob binary")
     index = scratch.save(index, "index")
     query = rows.where(asked).repartition(parts).mapInArrow(lambda x: _packed(x, False), "part long, blob binary")
