@@ -1,6 +1,7 @@
 """The columnar file format, checksums, statistics and generated logs."""
 
 import io
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,20 @@ def test_data_source_is_registered_once(spark):
         colfile.register(session)
 
 
+def test_data_source_in_sessions_that_are_not_active(spark, tmp_path):
+    """A session that another one, or none, is active beside; a thread may have no active session."""
+
+    def counted(session, name):
+        colfile.register(session)
+        session.range(5).write.format("columnfile").option("path", f"{tmp_path}/{name}").mode("append").save()
+        return session.read.format("columnfile").load(f"{tmp_path}/{name}").count()
+
+    colfile.register(spark)
+    assert [counted(spark.newSession(), f"s{i}") for i in range(3)] == [5] * 3
+    with ThreadPoolExecutor(1) as pool:
+        assert list(pool.map(counted, (spark.newSession(), spark), "ab")) == [5, 5]
+
+
 def slow_crc(data):
     crc = 0
     for byte in data:
