@@ -12,9 +12,9 @@ are neighbours; with the ``length`` bytes from the last one on they make up one
 region of a text. Regions whose anchor occurs once hold no repeats and go no
 further.
 
-Regions are dealt to shards by anchor. A shard builds the suffix array of its
-regions by Larsson-Sadakane refinement and Kasai's common prefixes from it:
-neighbours in it that share enough bytes are the repeats. Regions that agree with
+Regions are dealt to shards by anchor. A shard sorts the suffixes of its regions by
+Larsson-Sadakane refinement as far as the windows reach: neighbours in this suffix
+array that share so many bytes are the repeats. Regions that agree with
 no other of their anchor in enough bytes on either side of it hold none, and are
 left out. An anchor with many regions is dealt to several shards; each then publishes the windows it has found
 under their digests, and the published lists are sorted, merged and looked up by
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import Scratch, as_bytes, batch, sorted_runs
-from .suffixes import LONGEST, common_prefixes, suffix_array
+from .suffixes import LONGEST, PLACE_BITS, prefix_classes
 
 LENGTH = 400
 #: Bytes of a reported passage; 50 words are mostly more.
@@ -120,10 +120,11 @@ def _regions(batches: Iterator[pa.RecordBatch], length: int, share: int) -> Iter
         texts = as_bytes(b.column("text"))
         for row, text, found in zip(b.column("row").to_pylist(), texts, b.column("found").to_pylist()):
             for f in found:
-                region = text[f["first"] : f["last"] + length]
+                first, more = f["spot"] >> 32, f["spot"] & (1 << 32) - 1
+                region = text[first : first + more + length]
                 shards = -(-f["n"] // share)
-                salt = xxhash.xxh3_64_intdigest(b"%d %d" % (row, f["first"])) % shards
-                out.append((f["hash"], salt, shards > 1, row, f["first"], f["last"] - f["first"] + 1, f["at"] - f["first"], region))
+                salt = xxhash.xxh3_64_intdigest(b"%d %d" % (row, first)) % shards
+                out.append((f["hash"], salt, shards > 1, row, first, more + 1, f["at"], region))
                 held += len(region)
                 if held > 8 << 20:
                     yield batch(schema, *zip(*out))
@@ -196,26 +197,27 @@ class _Shard:
         n = np.array([len(s) for s in strings])
         first = np.cumsum(n) - n
         ends = np.repeat(first + n, n)
-        order = suffix_array(text, ends)
-        shared = common_prefixes(text, first, ends, order, self.length)
-        member_of = np.searchsorted(first, order, side="right") - 1
-        left = ends[order] - order
         # Passages that start beyond a region's own windows are other regions' to find.
-        own_window = order - first[member_of] < np.array(windows)[member_of]
+        own_window = np.arange(len(text)) < np.repeat(first + windows, n)
+        left = ends - np.arange(len(text))
+        depths = [self.passage, self.length] if self.passage < self.length else [self.length]
+        classes = prefix_classes(text, ends, depths, [own_window & (left >= d) for d in depths])
         rows = np.array([o[0][0] for o in owners])
         starts = np.array([o[0][1] for o in owners])
         number = np.unique(rows, return_inverse=True)[1]
         split = np.array(splits)
-        for kind, least in ((LONG, self.length), (SHORT, self.passage)):
+        bits, mask = np.uint64(PLACE_BITS), np.uint64((1 << PLACE_BITS) - 1)
+        for kind, least, of in ((LONG, self.length, classes[-1]), (SHORT, self.passage, classes[0])):
             # Classes of equal windows; shorter suffixes hold no window.
-            whole = (left >= least) & own_window
-            place = order[whole]
-            if not len(place):
+            whole = np.flatnonzero((left >= least) & own_window)
+            if not len(whole):
                 continue
-            label = np.cumsum(shared < least)[whole]
+            order = of[whole].astype(np.uint64) << bits | whole.astype(np.uint64)
+            order.sort()
+            place, label = (order & mask).astype(np.int64), order >> bits
             heads = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
             size = np.diff(np.r_[heads, len(place)])
-            member = member_of[whole]
+            member = np.searchsorted(first, place, side="right") - 1
             row = number[member]
             at = place - first[member] + starts[member]
             # A removed window's other place may be in its own text, a passage's has to be in another. Regions
@@ -360,15 +362,21 @@ def remove_repeats(
     texts = rows.groupBy("key").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.min("n_bytes").alias("n"))
     texts = scratch.save(texts, "texts")
     one = rows.join(texts.select("rep"), F.col("row") == F.col("rep"), "left_semi")
-    each = one.select("row", "key", "doc_id", F.explode(F.arrays_zip("hash", "first", "last", "at")).alias("x"))
-    each = scratch.save(each.select("row", "key", "doc_id", "x.hash", "x.first", "x.last", "x.at"), "each")
+    each = one.select("row", F.explode(F.arrays_zip("hash", "first", "last", "at")).alias("x"))
+    # Rows of anchors are most of what is moved, so they are kept narrow: an anchor's windows and first place make one number.
+    spot = F.shiftleft(F.col("x.first").cast("long"), 32).bitwiseOR((F.col("x.last") - F.col("x.first")).cast("long"))
+    each = scratch.save(each.select("row", "x.hash", spot.alias("spot"), (F.col("x.at") - F.col("x.first")).alias("at")), "each")
+    slim = scratch.save(rows.select("row", "doc_id", "key", "n_bytes", "sha256"), "slim")
+    scratch.drop("rows")
     often = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("hash", "h")
     often = scratch.save(often, "often")
-    found = each.join(often, F.col("hash") == F.col("h")).groupBy("row", "key", "doc_id")
-    found = found.agg(F.collect_list(F.struct("hash", "first", "last", "at", "n")).alias("found"))
-    found = found.withColumnsRenamed({"key": "k", "doc_id": "d"})
+    found = each.join(often, F.col("hash") == F.col("h")).groupBy("row")
+    found = found.agg(F.collect_list(F.struct("hash", "spot", "at", "n")).alias("found")).withColumnRenamed("row", "r")
+    found = slim.join(found, F.col("row") == F.col("r")).select("row", F.col("key").alias("k"), F.col("doc_id").alias("d"), "found")
     held = keyed.join(found, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     held = scratch.save(held.select("row", "key", "text", "found"), "held")
+    scratch.drop("each")
+    scratch.drop("often")
 
     regions = held.select("row", "text", "found").mapInArrow(
         lambda x: _regions(x, length, share), "hash long, salt int, split boolean, row long, start long, windows int, at int, region binary"
@@ -389,7 +397,7 @@ def remove_repeats(
     )
     cut = cut.join(copied.select("key"), "key", "left_anti").dropDuplicates(["key"]).unionByName(copied)
     cut = scratch.save(cut.withColumnRenamed("key", "k"), "cut")
-    out = rows.select("doc_id", "key", "n_bytes", "sha256").join(cut, F.col("key") == F.col("k"), "left")
+    out = slim.join(cut, F.col("key") == F.col("k"), "left")
     out = out.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<long>")).alias("spans"),

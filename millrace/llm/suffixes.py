@@ -1,4 +1,4 @@
-"""Suffix arrays in numpy: Larsson-Sadakane refinement and Kasai's common prefixes.
+"""Suffix arrays in numpy: Larsson-Sadakane refinement, whole or to given depths, and Kasai's common prefixes.
 
 The text is a row of strings that end at given places; no suffix reaches beyond
 the end of its string.
@@ -12,6 +12,7 @@ import numpy as np
 PLACE_BITS = 20
 LONGEST = (1 << PLACE_BITS) - 2
 _FIRST = 5
+_START = 4
 _WORD = 8
 _STRIDE = 64
 _STEPS = np.arange(0, _STRIDE, _WORD)
@@ -76,6 +77,81 @@ def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         known *= 2
 
 
+def prefix_classes(text: np.ndarray, ends: np.ndarray, depths: list[int], wanted: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of ``depths``, which rise, a number for each place: that of the suffixes
+    that share so many bytes with its own. It tells nothing where the string ends before that,
+    and of places that aren't ``wanted`` (a mask for each depth).
+
+    The refinement is that of ``suffix_array``, and stops when the prefixes are known: numbers are the
+    first rank of a group in the suffixes' order. Those of a depth between two doublings are
+    told by two prefixes that overlap.
+    """
+    n = len(text)
+    if n > LONGEST:
+        raise ValueError("the text is too long")
+    begin = min(_START, depths[0])
+    # The places whose groups have to be right at a depth: those that are asked for, and those that these look up.
+    needed = {begin: np.zeros(n, bool)}
+    while 2 * max(needed) <= depths[-1]:
+        needed[2 * max(needed)] = np.zeros(n, bool)
+    for depth, mask_ in zip(depths, wanted):
+        base = max(k for k in needed if k <= depth)
+        needed[base] |= mask_
+        needed[base][depth - base :] |= mask_[: max(0, n - depth + base)]
+    for k in sorted(needed)[:0:-1]:
+        needed[k // 2] |= needed[k]
+        needed[k // 2][k // 2 :] |= needed[k][: max(0, n - k // 2)]
+    bits, mask = np.uint64(PLACE_BITS), np.uint64((1 << PLACE_BITS) - 1)
+    places = np.arange(n, dtype=np.uint64)
+    left = ends - np.arange(n)
+    packed = _bytes_from(text, left, begin) << np.uint64(3) | np.minimum(left, begin).astype(np.uint64)
+    packed = packed << bits | places
+    packed.sort()
+    suffix = (packed & mask).astype(np.int32)
+    ends = ends.astype(np.int32)
+    # A place behind the last, for suffixes that end, has the least group.
+    group, todo, known = np.zeros(n + 1, np.int32), np.arange(1, n + 1, dtype=np.int32), begin
+    key = packed >> bits
+    ended = key & np.uint64(7) < begin
+    out = []
+
+    def after(more: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        return group[np.where(more < ends[suffix], more, n)].astype(np.uint64)
+
+    while True:
+        head = np.r_[True, key[1:] != key[:-1]]
+        starts = np.flatnonzero(head)
+        size = np.diff(np.r_[starts, len(key)])
+        if len(key):
+            group[suffix] = np.repeat(todo[starts], size)
+        keep = np.repeat(size > 1, size) & ~ended if len(key) else np.zeros(0, bool)
+        todo, suffix = todo[keep], suffix[keep]
+        while len(out) < len(depths) and depths[len(out)] < 2 * known:
+            depth = depths[len(out)]
+            if depth == known:
+                out.append(group[:n].copy())
+                continue
+            use = wanted[len(out)][suffix]
+            some, ranks = suffix[use], todo[use]
+            both = (group[some].astype(np.uint64) << bits | after(some + (depth - known), some)) << bits | some.astype(np.uint64)
+            both.sort()
+            pair, found = both >> bits, group[:n].copy()
+            if len(pair):
+                starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                found[(both & mask).astype(np.int32)] = np.repeat(ranks[starts], np.diff(np.r_[starts, len(pair)]))
+            out.append(found)
+        if len(out) == len(depths):
+            return out
+        use = needed[2 * known][suffix]
+        todo, suffix = todo[use], suffix[use]
+        packed = (group[suffix].astype(np.uint64) << bits | after(suffix + known, suffix)) << bits | suffix.astype(np.uint64)
+        packed.sort()
+        suffix = (packed & mask).astype(np.int32)
+        key = packed >> bits
+        ended = key & mask == 0
+        known *= 2
+
+
 def common_prefixes(text: np.ndarray, first: np.ndarray, ends: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """For each rank the bytes, ``most`` at most, that its suffix shares with the one before it.
 

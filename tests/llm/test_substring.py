@@ -58,6 +58,22 @@ def test_suffix_array_and_common_prefixes():
         assert hi - lo == sum(s.startswith(pattern) for s in suffix)
 
 
+def test_prefix_classes_are_those_of_equal_prefixes():
+    rng = random.Random(3)
+    for k in range(150):
+        parts = [bytes(rng.choices(b"ab\0" if k % 2 else b"abcdefgh", k=rng.randint(1, 40))) * rng.randint(1, 3) for _ in range(rng.randint(1, 10))]
+        parts += [rng.choice(parts)[rng.randrange(3) :] + b"q" for _ in range(5)]
+        text, _, ends = strings(parts)
+        depths = sorted(rng.sample(range(1, 60), 2))
+        wanted = [np.array([rng.random() < 0.6 for _ in text]) for _ in depths]
+        for depth, mask, found in zip(depths, wanted, suffixes.prefix_classes(text, ends, depths, wanted)):
+            numbers = {}
+            for i in np.flatnonzero(mask & (ends - np.arange(len(text)) >= depth)):
+                numbers.setdefault(text[i : i + depth].tobytes(), set()).add(int(found[i]))
+            in_order = [n for prefix in sorted(numbers) for n in numbers[prefix]]
+            assert in_order == sorted(set(in_order)) and len(in_order) == len(numbers)
+
+
 def test_every_window_has_its_anchor(monkeypatch):
     monkeypatch.setattr(substring, "_PIECE", 1 << 12)
     substring._powers.cache_clear()
