@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache, reduce
-from itertools import combinations, count, repeat
+from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
@@ -433,43 +433,104 @@ def _first_look(batches: Iterator[pa.RecordBatch], near: Near) -> Iterator[pa.Re
             yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
 
 
-def _next_look(batches: Iterator[pa.RecordBatch], near: Near, low: int, high: int) -> Iterator[pa.RecordBatch]:
-    """Links of members that are ``low`` to ``high`` - 1 places apart in their group, seen as a
-    circle, and not yet known to be in one component; the members again where places are left."""
-    for piece in sorted_runs(batches, "key"):
-        key, root, signed, node, label = (piece[n] for n in ("key", "root", "fp", "a", "label"))
-        fp = signed.view(np.uint64)
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (root[1:] != root[:-1])])
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
-            n, of = e - s, label[s:e]
-            if (of == of[0]).all():
-                continue
-            own, ids, at = fp[s:e], node[s:e], key[s : s + 1]
-            out_a, out_b, held = [], [], 0
-            for d in range(low, min(high, n // 2 + 1)):
-                hit = np.flatnonzero((of != np.roll(of, -d)) & near(own, np.roll(own, -d), at))
-                out_a.append(ids[hit])
-                out_b.append(ids[(hit + d) % n])
-                held += len(hit)
-                if held > 1 << 18:
-                    yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
-                    out_a, out_b, held = [], [], 0
-            if held:
-                yield _links_out(np.concatenate(out_a), np.concatenate(out_b))
-            if high <= n // 2:
-                yield _members_out(key[s:e], root[s:e], signed[s:e], ids)
+def shingle_sets(rows: DataFrame, text: str, width: int) -> DataFrame:
+    """(member, shingles): the hashes of the shingles of the texts of rows (row, text), each once."""
+    schema = pa.schema([("member", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = (_shingle_hashes(x, width).view(np.int64).ravel() for x in as_bytes(b.column(text)))
+            yield batch(schema, b.column("row"), [np.unique(x) for x in found])
+
+    return rows.select("row", text).mapInArrow(run, "member long, shingles array<long>")
+
+
+def _forest(near: Callable[[int], np.ndarray] | None, label: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of places whose sets are as similar as ``least`` (and near), that connect all such pairs of different labels.
+
+    Each set outside the largest component is compared with all others, by the lists of the sets that have a value.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    head = np.r_[True, np.diff(values[order]) != 0][: len(values)]
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(head) - 1
+    own, start = owner[order], np.flatnonzero(head)
+    long = np.diff(np.r_[start, len(values)])
+    begin = np.cumsum(size) - size
+    names, of, times = np.unique(label, return_inverse=True, return_counts=True)
+    main, out = int(times.argmax()), []
+    for i in range(n):
+        if of[i] == main:
+            continue
+        mine, common = number[begin[i] : begin[i] + size[i]], np.zeros(n, np.int64)
+        part = np.cumsum(long[mine]) >> 22
+        for piece in np.split(mine, np.flatnonzero(np.diff(part)) + 1):
+            count_ = long[piece]
+            place = np.repeat(start[piece] - np.cumsum(count_) + count_, count_) + np.arange(count_.sum())
+            common += np.bincount(own[place], minlength=n)
+        hit = (of != of[i]) & (common / np.maximum(1, size + size[i] - common) >= least)
+        if near:
+            hit &= near(i)
+        for j in np.flatnonzero(hit).tolist():
+            if of[i] != of[j]:
+                out.append((i, j))
+                x, y = (of[i], of[j]) if of[i] == main else (of[j], of[i])
+                of[of == y] = x
+    return out
+
+
+_INSIDE = ("way", "key", "root")
+
+
+def _inside(batches: Iterator[pa.RecordBatch], bits: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Groups (way, key, root) with members (fp, a, label, shingles), sorted, to links that connect what is alike in each."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links_of(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        label, node, fp = (t.column(n).to_numpy() for n in ("label", "a", "fp"))
+        if (label == label[0]).all():
+            return
+        sets = [x for part in t.column("shingles").chunks for x in part.to_numpy(zero_copy_only=False)]
+        fp = fp.view(np.uint64)
+        near = None if t.column("way")[0].as_py() == BY_BAND else lambda i: np.bitwise_count(fp ^ fp[i]) <= bits
+        found = np.array(_forest(near, label, sets, least), np.int64).reshape(-1, 2)
+        a, b = node[found[:, 0]], node[found[:, 1]]
+        yield batch(schema, np.minimum(a, b), np.maximum(a, b))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(n).to_numpy() for n in _INSIDE]
+        starts = np.flatnonzero(np.r_[True, np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]).tolist()
+        for s, e in zip(starts, [*starts[1:], b.num_rows]):
+            if held and any(held[0].column(n)[0].as_py() != c[s] for n, c in zip(_INSIDE, columns)):
+                yield from links_of(held)
+                held = []
+            held.append(b.slice(s, e - s))
+    if held:
+        yield from links_of(held)
+
+
+#: The number of the bands among the ways in which candidates meet.
+BY_BAND = 1
 
 
 def verified_components(
-    scratch: Scratch, nodes: DataFrame, bits: int, check: Callable[[Scratch, DataFrame], DataFrame], hot: int | None = None
-) -> DataFrame:
+    scratch: Scratch, nodes: DataFrame, bits: int, check: Callable[[Scratch, DataFrame], DataFrame],
+    sets: Callable[[DataFrame], DataFrame], least: float, hot: int | None = None,
+) -> DataFrame:
     """(node, label) for the nodes of ``nodes`` (node, fp, bands) that have links; equal labels mean the
     same component of the links that ``check`` keeps, of all between nodes whose fingerprints are ``bits``
     or fewer apart or that have a band in common.
 
     A link is left out only if links that were checked connect its ends. Where a bucket
-    has many links, a forest is checked first; what that leaves apart is checked in
-    rounds, each over eight times as many places as the one before.
+    has many links, a forest is checked first. If that leaves members apart, they meet once more with
+    their ``sets`` (member, shingles of those whose nodes are given as e), are compared where they meet, and only
+    links that connect them go on to ``check``: fewer than members, however many pairs aren't alike.
     """
     prints = scratch.save(nodes.select("fp").distinct(), "prints")
     cold, warm = _states(scratch, prints, bits, hot)
@@ -491,26 +552,32 @@ def verified_components(
     looked = []
     for w, (rows, near) in enumerate(ways):
         rows = rows.repartition("key").sortWithinPartitions("key", "fp", "node")
-        looked.append(scratch.save(rows.mapInArrow(lambda x, near=near: _first_look(x, near), _LOOKED_DDL), f"looked0_{w}"))
-    low, kept = 1, None
-    for k in count():
-        inner = scratch.inner(f"round{k}")
-        found = reduce(DataFrame.unionByName, [x.where("NOT open").select("a", "b") for x in looked])
-        new = check(inner, found)
-        kept = new if kept is None else kept.unionByName(new)
-        labels = components(inner, kept)
-        left = [x.where("open") for x in looked]
-        if all(x.isEmpty() for x in left):
-            return labels
-        named = labels.withColumnRenamed("node", "n")
-        looked, high = [], low * 8
-        for w, ((_, near), members) in enumerate(zip(ways, left)):
-            rows = members.join(named, members.a == named.n, "left")
-            rows = rows.select("key", "root", "fp", "a", F.coalesce("label", "a").alias("label"))
-            rows = rows.repartition("key", "root").sortWithinPartitions("key", "root", "fp", "a")
-            rows = rows.mapInArrow(lambda x, near=near, low=low, high=high: _next_look(x, near, low, high), _LOOKED_DDL)
-            looked.append(scratch.save(rows, f"looked{k + 1}_{w}"))
-        low = high
+        rows = scratch.save(rows.mapInArrow(lambda x, near=near: _first_look(x, near), _LOOKED_DDL), f"looked{w}")
+        looked.append(rows.withColumn("way", F.lit(w)))
+    every = reduce(DataFrame.unionByName, looked)
+    inner = scratch.inner("forests")
+    kept = check(inner, every.where("NOT open").select("a", "b"))
+    labels = components(inner, kept)
+    named = labels.withColumnRenamed("node", "n")
+    members = every.where("open").join(named, F.col("a") == F.col("n"), "left")
+    members = scratch.save(members.select(*_INSIDE, "fp", "a", F.coalesce("label", "a").alias("label")), "members")
+    groups = members.groupBy(*_INSIDE).agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"),
+        F.expr("bit_xor(xxhash64(a))").alias("x"), F.expr("bit_xor(xxhash64(a, 1))").alias("y"),
+    )
+    # Of groups of the same members one is enough: all their pairs that are near, or all, are compared in it.
+    groups = groups.where("low < high").groupBy(F.col("way") == BY_BAND, "n", "x", "y").agg(F.min(F.struct(*_INSIDE)).alias("g"))
+    groups = scratch.save(groups.select(*[F.col(f"g.{c}").alias(f"g_{c}") for c in _INSIDE]), "groups").hint("merge")
+    if groups.isEmpty():
+        return labels
+    apart = members.join(groups, [F.col(c) == F.col(f"g_{c}") for c in _INSIDE], "left_semi")
+    apart = scratch.save(apart, "apart")
+    own = scratch.save(sets(apart.select(F.col("a").alias("e")).distinct()), "sets").hint("merge")
+    rows = apart.join(own, F.col("a") == F.col("member")).select(*_INSIDE, "fp", "a", "label", "shingles")
+    rows = rows.repartition(*_INSIDE).sortWithinPartitions(*_INSIDE, "fp", "a")
+    more = scratch.save(rows.mapInArrow(lambda x: _inside(x, bits, least), "a long, b long"), "more")
+    inner = scratch.inner("inside")
+    return components(inner, kept.unionByName(check(inner, more)))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, bits: int = 4, least: float = 0.8) -> DataFrame:
@@ -532,8 +599,12 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, bits: int =
     first = F.min(F.struct(F.col(key).isNull(), F.col(key).alias("doc_id"), "row")).alias("first")
     same = [F.min("fp").alias("fp"), F.min("bands").alias("bands")]  # equal in all rows of a digest
     nodes = scratch.save(rows.groupBy("digest").agg(*same, F.min("row").alias("node"), first), "nodes")
+
+    def sets(ends: DataFrame) -> DataFrame:
+        return shingle_sets(rows.join(ends.hint("merge"), F.col("row") == F.col("e"), "left_semi"), text, width)
+
     labels = verified_components(
-        scratch, nodes.select("node", "fp", "bands"), bits, lambda s, found: similar_links(s, rows, text, found, width, least)
+        scratch, nodes.select("node", "fp", "bands"), bits, lambda s, found: similar_links(s, rows, text, found, width, least), sets, least
     )
     labels = labels.withColumnRenamed("node", "n")
     # One row for each group: a group's component_id may be shared by others if ids repeat.

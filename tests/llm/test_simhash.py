@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,21 @@ def test_dense_near_copies_as_by_all_pairs(spark, monkeypatch, bits, hot):
     assert sorted(r.doc_id for r in simhash.keep_first(spark, df, bits=bits).collect()) == want
 
 
+def test_groups_that_are_not_alike_give_no_row_for_each_pair():
+    """All in one band at a similarity of about 0.7, but for two pairs: links are fewer than members."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**63), 2**63 - 1, 84)
+    sets = [np.unique(np.r_[base, rng.integers(-(2**63), 2**63 - 1, 16)]) for _ in range(300)]
+    sets[7], sets[250] = sets[200][1:], np.r_[sets[3], 5]
+    n = len(sets)
+    columns = [np.full(n, simhash.BY_BAND), np.zeros(n), np.zeros(n), np.arange(n) * 1000, np.arange(n), np.arange(n)]
+    names = ["way", "key", "root", "fp", "a", "label"]
+    rows = pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(sets, pa.list_(pa.int64()))], [*names, "shingles"])
+    for size in (300, 17):  # a group may span batches
+        got = [r for b in simhash._inside(iter([rows.slice(i, size) for i in range(0, n, size)]), 4, 0.8) for r in b.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in got) == [(3, 250), (7, 200)]
+
+
 def test_equal_fingerprints_are_verified(spark):
     rng = random.Random(1)
     own = [[f"w{rng.getrandbits(40)}" for _ in range(60)] for _ in range(3)]
